@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], *, size: str, spread_by: list[str], hot: int = 50_000, salts: int = 32, how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], *, size: str, spread_by: list[str], hot: int = 50_000, salts: int = 32, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """Joins rows to the one row of its key in groups, whose column `size` holds the number of rows of that key.
 
     Groups of more than `hot` rows are written `salts` times and their rows spread over as many tasks. The hot keys are
     found on the small side only; the rows learn of them from a broadcast set that has at most total / hot entries of
-    one 64-bit hash each (a third of 10^12 rows in hot keys gives under 7 MB). Keys that are null match nothing.
+    one 64-bit hash each (a third of 10^12 rows in hot keys gives under 7 MB). Keys that are null match nothing. sizes:
+    where groups is costly to compute, a cheaper table with the same keys and sizes to find the hot keys in.
     """
     digest = lambda: F.xxhash64(*[F.col(k) for k in keys])
-    hot_set = groups.filter(F.col(size) > hot).select(digest().alias("__hot")).distinct()
+    hot_set = (groups if sizes is None else sizes).filter(F.col(size) > hot).select(digest().alias("__hot")).distinct()
     left = rows.withColumn("__k", digest()).join(F.broadcast(hot_set), F.col("__k") == F.col("__hot"), "left")
     left = left.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(0).cast("int")).drop("__k", "__hot")
     right = groups.withColumn("__salt", F.explode(F.when(F.col(size) > hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
