@@ -25,3 +25,24 @@ def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], *, size: st
 def is_blank(c: Column) -> Column:
     """True for null and for text without any visible character."""
     return c.isNull() | (F.trim(c) == "")
+
+
+def pairs_within(rows: DataFrame, key: list[str], id_: str, *, block: int = 4096, differ: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """(<id>_a, <id>_b): every pair of rows of equal key, smaller id first; for results that are all such pairs.
+
+    A key of many rows is joined in blocks: one side is spread over n / block parts, the other repeated for each, so no task
+    holds more than about block rows of one key against the whole. Keys of one row never reach the join. differ: a column
+    in which the two rows must differ. sizes: (key, n) of the keys to pair, if known.
+    """
+    if sizes is None:
+        sizes = rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+    extra = [differ] if differ else []
+    mine = salted_join(rows.select(*key, id_, *extra), sizes.select(*key, "n"), key, size="n", spread_by=[id_])
+    parts = F.ceil(F.col("n") / block).cast("int")
+    part = F.pmod(F.xxhash64(id_), parts).cast("int").alias("__part")
+    left = mine.select(F.col(id_).alias(f"{id_}_a"), *[F.col(k) for k in key], part, *[F.col(c).alias("__da") for c in extra])
+    right = mine.select(F.col(id_).alias(f"{id_}_b"), *[F.col(k) for k in key], F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"), *[F.col(c).alias("__db") for c in extra])
+    both = left.join(right, [*key, "__part"]).filter(F.col(f"{id_}_a") < F.col(f"{id_}_b"))
+    if differ:
+        both = both.filter(F.col("__da") != F.col("__db"))
+    return both.select(f"{id_}_a", f"{id_}_b")
