@@ -234,7 +234,7 @@ def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", *,
     Only forms with two or more different stored texts are joined; a form that many rows share is joined in blocks of
     about `block` rows, each a task's key of its own, as every such pair is a result.
     """
-    from tallyloom.operators.skew import salted_join
+    from tallyloom.operators.skew import pairs_within
     from tallyloom.runtime import materialize
 
     sha = lambda c: F.unhex(F.sha2(c, 256))
@@ -243,8 +243,4 @@ def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", *,
     rows = materialize(rows, "forms")
     classes = rows.groupBy("form", "stored").agg(F.count("*").alias("c"))
     varied = classes.groupBy("form").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")).filter("kinds > 1").select("form", "n")
-    mine = salted_join(rows, varied, ["form"], size="n", spread_by=["id"])
-    parts = F.ceil(F.col("n") / block).cast("int")
-    left = mine.select(F.col("id").alias(f"{key}_a"), F.col("stored").alias("sa"), "form", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
-    right = mine.select(F.col("id").alias(f"{key}_b"), F.col("stored").alias("sb"), "form", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    return left.join(right, ["form", "part"]).filter((F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("sa") != F.col("sb"))).select(f"{key}_a", f"{key}_b")
+    return pairs_within(rows.withColumnRenamed("id", key), ["form"], key, block=block, differ="stored", sizes=varied)

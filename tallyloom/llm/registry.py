@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-NAMES = ("queries_tokens", "queries_text", "queries_copies")
+NAMES = ("queries_clusters", "queries_products", "queries_categories", "queries_tokens", "queries_text", "queries_copies")
 
 
 def modules() -> list:
