@@ -469,16 +469,16 @@ def top_k_per_group(spark, d):
     return clean(spark, d).filter("spend is not null").withColumn("r", F.row_number().over(w)).filter("r <= 3").select("market", "entry_id", "r")
 
 
-@query(CLEAN + ", m as (select market, sum(spend) s, count(distinct uni) u from cl group by 1), c as (select (percentile_disc(0.5) within group (order by s) + percentile_disc(0.5) within group (order by s desc)) / 2 ps, (percentile_disc(0.5) within group (order by u) + percentile_disc(0.5) within group (order by u desc)) / 2 pu from m) select market, cast(s > ps as int) big, cast(u > pu as int) wide from m, c")
+@query(CLEAN + ", m as (select market, round(sum(spend), 6) s, count(distinct uni) u from cl group by 1), c as (select (percentile_disc(0.5) within group (order by s) + percentile_disc(0.5) within group (order by s desc)) / 2 ps, (percentile_disc(0.5) within group (order by u) + percentile_disc(0.5) within group (order by u desc)) / 2 pu from m) select market, cast(s > ps as int) big, cast(u > pu as int) wide from m, c")
 def median_split_2x2(spark, d):
-    m = clean(spark, d).groupBy("market").agg(F.sum("spend").alias("s"), F.countDistinct("uni").alias("u"))
+    m = clean(spark, d).groupBy("market").agg(F.round(F.sum("spend"), 6).alias("s"), F.countDistinct("uni").alias("u"))
     c = m.agg(S.pctile_avg("s", 0.5).alias("ps"), S.pctile_avg("u", 0.5).alias("pu"))
     return m.crossJoin(F.broadcast(c)).select("market", (F.col("s") > F.col("ps")).cast("int").alias("big"), (F.col("u") > F.col("pu")).cast("int").alias("wide"))
 
 
-@query(CLEAN + ", m as (select market, sum(spend) s from cl group by 1), c as (select " + ", ".join(f"{_P(p, 's').replace('round(', '(').replace(', 7)', ')')} q{i}" for i, p in ((1, 0.25), (2, 0.5), (3, 0.75))) + " from m) select market, cast(1 + (s > q1)::int + (s > q2)::int + (s > q3)::int as int) bin from m, c")
+@query(CLEAN + ", m as (select market, round(sum(spend), 6) s from cl group by 1), c as (select " + ", ".join(f"{_P(p, 's').replace('round(', '(').replace(', 7)', ')')} q{i}" for i, p in ((1, 0.25), (2, 0.5), (3, 0.75))) + " from m) select market, cast(1 + (s > q1)::int + (s > q2)::int + (s > q3)::int as int) bin from m, c")
 def quantile_bins(spark, d):
-    m = clean(spark, d).groupBy("market").agg(F.sum("spend").alias("s"))
+    m = clean(spark, d).groupBy("market").agg(F.round(F.sum("spend"), 6).alias("s"))
     return panel.quantile_bins(m, "s", 7).select("market", "bin")
 
 
