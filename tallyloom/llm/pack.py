@@ -5,8 +5,9 @@ that fit in all three, the one with the largest weighted dot product of its size
 (Panigrahy et al. 2011); each dimension weighs as the share of its limit that the average item takes. Items of equal
 sizes are one class, so a step looks at classes, not items.
 
-Each task packs its own rows in blocks, without a shuffle. Containers of a block that are not full to `full` are opened
-again: their items go into the next block, so only the last block of a task leaves containers with room.
+Each task packs its own rows in blocks, without a shuffle. Containers of a block that are not full to FULL are opened
+again: their items go into the next block, and what the last block of a task leaves goes, GATHER tasks together, into a
+second and last round. So only one task in GATHER leaves containers with room.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.runtime import materialize
+
 CAPACITY = 2048
 SEGMENTS = 256
 BLOCK = 8192
 FULL = 0.995
+GATHER = 256
 
 
 def pack_block(tokens: np.ndarray, loss: np.ndarray, *, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_capacity: int | None = None) -> list[list[int]]:
@@ -60,7 +64,7 @@ def pack_block(tokens: np.ndarray, loss: np.ndarray, *, capacity: int = CAPACITY
     return out
 
 
-def _packer(capacity: int, segments: int, loss_capacity: int, block: int):
+def _packer(capacity: int, segments: int, loss_capacity: int, block: int, final: bool):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, n = TaskContext.get().partitionId(), 0
         held: pd.DataFrame | None = None
@@ -75,7 +79,7 @@ def _packer(capacity: int, segments: int, loss_capacity: int, block: int):
             for members in pack_block(tokens, loss, capacity=capacity, segments=segments, loss_capacity=loss_capacity):
                 used = max(tokens[members].sum() / capacity, len(members) / segments, loss[members].sum() / loss_capacity)
                 if last or used >= FULL:
-                    number[members] = (part << 33) + n
+                    number[members] = (int(final) << 62) + (part << 33) + n
                     place[members] = np.arange(len(members))
                     n += 1
             return rows[number >= 0].assign(container_id=number[number >= 0], segment=place[number >= 0]), rows[number < 0]
@@ -93,7 +97,9 @@ def _packer(capacity: int, segments: int, loss_capacity: int, block: int):
                 pending, waiting = [], 0
         rows = pd.concat([*([held] if held is not None else []), *pending], ignore_index=True) if held is not None or pending else None
         if rows is not None and len(rows):
-            yield flush(rows, True)[0]
+            done, rest = flush(rows, final)
+            yield done
+            yield rest.assign(container_id=np.int64(-1), segment=np.int32(-1))
 
     return run
 
@@ -125,4 +131,10 @@ def pack(sized: DataFrame, *, capacity: int = CAPACITY, segments: int = SEGMENTS
         raise ValueError("limits must be at least 1")
     rows = pieces(sized.drop("container_id", "segment", "loss_tokens"), capacity=capacity, loss=loss, loss_capacity=loss_capacity)
     schema = rows.withColumn("container_id", F.lit(0).cast("long")).withColumn("segment", F.lit(0)).schema
-    return rows.mapInPandas(_packer(capacity, segments, capacity if loss_capacity is None else loss_capacity, block), schema)
+    pack_with = lambda final: _packer(capacity, segments, capacity if loss_capacity is None else loss_capacity, block, final)
+    tasks = rows.rdd.getNumPartitions()
+    first = materialize(rows.mapInPandas(pack_with(False), schema), "packed")
+    rest = first.filter("container_id < 0").drop("container_id", "segment").repartition(-(-tasks // GATHER))
+    # in one order however the rows arrive
+    rest = rest.sortWithinPartitions("n_tokens", F.xxhash64(*[f.name for f in rest.schema.fields if f.dataType.typeName() not in ("map", "variant")]))
+    return first.filter("container_id >= 0").unionByName(rest.mapInPandas(pack_with(True), schema))
