@@ -69,3 +69,30 @@ def split_loose(members: DataFrame, edges: DataFrame, *, least_density: float =
         if live.isEmpty():
             return done
     return done.unionByName(live.select("node", F.col("node").alias("cluster")))
+
+
+def greedy_stars(nodes: DataFrame, edges: DataFrame, order: list[str], *, max_rounds: int = 60) -> DataFrame:
+    """(node, parent): what going through the nodes in `order` gives, each free node taking all its free neighbours.
+
+    nodes: node and the columns of the order (unique together). A node that comes before all its open neighbours is a parent,
+    its neighbours are not; a round decides all such nodes at once, which yields the same parents as the sequential pass.
+    At the end every other node goes to its first parent. A node without edges is its own parent.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    rank = nodes.select("node", F.struct(*order).alias("o"))
+    links = materialize(both.join(rank.withColumnRenamed("node", "b").withColumnRenamed("o", "ob"), "b"), "stars")
+    live, parents = rank, None
+    for _ in range(max_rounds):
+        near = links.join(live.select(F.col("node").alias("b")), "b", "left_semi").join(live.select(F.col("node").alias("a")), "a", "left_semi")
+        first = near.groupBy("a").agg(F.min("ob").alias("first"))
+        heads = materialize(live.join(first.withColumnRenamed("a", "node"), "node", "left").filter("first is null or o < first").select("node", "o"), "heads")
+        parents = heads if parents is None else parents.unionByName(heads)
+        taken = links.join(heads.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).unionByName(heads.select("node")).distinct()
+        live = materialize(live.join(taken, "node", "left_anti"), "live")
+        if live.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"stars did not settle in {max_rounds} rounds")
+    mine = links.join(parents.select(F.col("node").alias("b")), "b", "left_semi").groupBy("a").agg(F.min_by("b", "ob").alias("parent"))
+    kids = mine.withColumnRenamed("a", "node").join(parents.select("node"), "node", "left_anti")
+    return kids.select("node", "parent").unionByName(parents.select("node", F.col("node").alias("parent")))

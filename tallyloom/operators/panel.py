@@ -104,3 +104,22 @@ def shrink(df: DataFrame, b: str = "b", se: str = "se") -> DataFrame:
     w = F.col("__t2") / (F.col("__t2") + v)
     df = df.crossJoin(F.broadcast(m)).withColumn("w_eb", w)
     return df.withColumn("b_eb", F.col("w_eb") * F.col(b) + (1 - F.col("w_eb")) * F.col("__mu")).withColumn("se_eb", F.sqrt(F.col("w_eb") * v)).drop("__t2", "__mu")
+
+
+def settle_values(df: DataFrame, unit: str, time: str, value: str, weight: str, *, reach: int = 5, rounds: int = 3, tie: str = "hash", seed: int = 1) -> DataFrame:
+    """(unit, time, value): one value per unit and time where several compete.
+
+    A round keeps, of the competing values, those the unit also has within `reach` periods before and after, failing those
+    the ones it has before, failing those after; later rounds see only what is left. Then the value of largest total weight,
+    and among equals a hash of (unit, value, seed), or the least value (tie='least').
+    """
+    rows = df.groupBy(unit, time, value).agg(F.sum(weight).alias("__w"))
+    for _ in range(rounds):
+        w = Window.partitionBy(unit, value).orderBy(time)
+        before = F.coalesce(F.col(time) - F.lag(time).over(w) <= reach, F.lit(False))
+        after = F.coalesce(F.lead(time).over(w) - F.col(time) <= reach, F.lit(False))
+        rows = rows.withColumn("__s", F.when(before & after, 3).when(before, 2).when(after, 1).otherwise(0))
+        rows = rows.withColumn("__m", F.max("__s").over(Window.partitionBy(unit, time))).filter("__s = __m").drop("__s", "__m")
+    rows = rows.withColumn("__t", F.sum("__w").over(Window.partitionBy(unit, value)))
+    last = F.xxhash64(F.col(unit), F.col(value), F.lit(seed)) if tie == "hash" else F.col(value)
+    return rows.groupBy(unit, time).agg(F.min_by(value, F.struct(-F.col("__t"), last, F.col(value))).alias(value))
