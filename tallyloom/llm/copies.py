@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.skew import salted_join
+from tallyloom.runtime import materialize
 
 # The character classes of the rule. ASCII symbols count as punctuation.
 SPACE = r"[\s\p{Z}\p{C}]"
@@ -27,8 +28,16 @@ def leaf(c: Column) -> Column:
 
 
 def pieces(c: Column) -> Column:
-    """The normalised pieces of a description, without empty ones, in the order of their digests."""
-    got = F.filter(F.transform(F.split(c, SEPARATOR), leaf), lambda p: p != "")
+    """The normalised pieces of a description, without empty ones, in the order of their digests.
+
+    The same as leaf() of each piece, but every pattern runs once over the whole text: separators become a control character first.
+    """
+    c = F.regexp_replace(F.lower(c), rf"{SPACE}+", " ")
+    c = F.regexp_replace(c, SEPARATOR, "\x01")
+    c = F.regexp_replace(c, rf"(?<!\p{{N}}){PUNCT}|{PUNCT}(?!\p{{N}})", " ")
+    c = F.regexp_replace(c, " *\x01[ \x01]*", "\x01")
+    c = F.trim(F.regexp_replace(c, "  +", " "))
+    got = F.filter(F.transform(F.split(c, "\x01"), lambda p: F.trim(p)), lambda p: p != "")
     return F.transform(F.array_sort(F.transform(got, lambda p: F.struct(F.xxhash64(p).alias("h"), p.alias("p")))), lambda s: s["p"])
 
 
@@ -61,6 +70,6 @@ def collapse(df: DataFrame, **names: str) -> DataFrame:
 
 def repeats(df: DataFrame, **names: str) -> DataFrame:
     """(first_record_id, record_id): each record that repeats one with a smaller id; hot groups are salted."""
-    rows = structure(df, **names)
+    rows = materialize(structure(df, **names), "records")
     many = groups(rows).filter("copies > 1")
     return salted_join(rows, many, NODE, size="copies", spread_by=["id"]).filter("id > first_id").select(F.col("first_id").alias("first_record_id"), F.col("id").alias("record_id"))
