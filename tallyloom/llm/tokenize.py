@@ -19,6 +19,7 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -34,6 +35,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LOOK = 4
 LEAF = 4096
 FOLDER = "/opt/tokenizers"
+EMPTY = np.zeros(0, np.uint32)
 
 
 def vocabulary(name: str = "byte_bpe_50k", folder: str = FOLDER) -> str:
@@ -50,6 +52,7 @@ class Bpe:
         self.core = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.scan = regex.compile(PATTERN)
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.memo: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
         return self.core.encode_ordinary(text)
@@ -83,8 +86,15 @@ class Bpe:
 
     def leaf(self, text: str) -> tuple[list[str], list[list[int]]]:
         """Pieces and their tokens."""
-        pieces = self.scan.findall(text)
-        return pieces, [self.long_piece(p) for p in pieces]
+        pieces, out = self.scan.findall(text), []
+        for p in pieces:  # words come again and again
+            t = self.memo.get(p)
+            if t is None:
+                t = self.long_piece(p)
+                if len(p) < 40 and len(self.memo) < 200_000:
+                    self.memo[p] = t
+            out.append(t)
+        return pieces, out
 
     def join(self, left: tuple, right: tuple) -> tuple:
         """The pieces and tokens of the concatenated text."""
@@ -114,7 +124,7 @@ class Bpe:
 
     def _across(self, p: str, lp: list, lt: list, rp: list, rt: list) -> list[int]:
         if len(p) > LEAF and len(p) == len(lp[-1]) + len(rp[0]) and p.startswith(lp[-1]) and p.endswith(rp[0]):
-            return self.join_tokens(lt[-1], rt[0])
+            return self.join_tokens([int(t) for t in lt[-1]], [int(t) for t in rt[0]])
         return self.long_piece(p)
 
     def tree(self, parts: list[tuple]) -> tuple:
@@ -132,8 +142,14 @@ def _encode_batches(path: str, size_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in batches:
-            ids = bpe.core.encode_ordinary_batch([t or "" for t in b.column(b.num_columns - 1).to_pylist()], num_threads=1)
-            out = pa.array([len(x) for x in ids], pa.int32()) if size_only else pa.array(ids, pa.list_(pa.int32()))
+            # token buffers go to Arrow as they are, without a Python object per token
+            ids = [bpe.core.encode_to_numpy(t, disallowed_special=()) if t else EMPTY for t in b.column(b.num_columns - 1).to_pylist()]
+            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+            if size_only:
+                out = pa.array(sizes)
+            else:
+                flat = np.concatenate(ids).astype(np.int32) if ids else EMPTY.astype(np.int32)
+                out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], names=[*b.schema.names[:-1], "ids"])
 
     return run
@@ -169,8 +185,8 @@ def encode(docs: DataFrame, text: str = "text", *, path: str | None = None, leaf
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__n")
-        tokens = load(path).tree([(list(p), [list(map(int, x)) for x in t]) for p, t in zip(pdf["pieces"], pdf["tokens"], strict=True)])[1]
-        ids = [i for t in tokens for i in t]
+        tokens = load(path).tree([(list(p), list(t)) for p, t in zip(pdf["pieces"], pdf["tokens"], strict=True)])[1]
+        ids = np.concatenate([np.asarray(t, np.int32) for t in tokens]) if tokens else EMPTY
         return pd.DataFrame({"__sha": [pdf["__sha"].iloc[0]], "ids": [len(ids) if size_only else ids]})
 
     got = parts.mapInPandas(leaves, "__sha binary, __n int, pieces array<string>, tokens array<array<int>>").groupBy("__sha").applyInPandas(joined, T.StructType([T.StructField("__sha", T.BinaryType()), T.StructField("ids", kind)]))
