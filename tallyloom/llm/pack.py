@@ -6,8 +6,8 @@ that fit in all three, the one with the largest weighted dot product of its size
 sizes are one class, so a step looks at classes, not items.
 
 Each task packs its own rows in blocks, without a shuffle. Containers of a block that are not full to FULL are opened
-again: their items go into the next block, and what the last block of a task leaves goes, GATHER tasks together, into a
-second and last round. So only one task in GATHER leaves containers with room.
+again: their items go into the next block, and what the last block of a task leaves goes, GATHER items together, into a
+second and last round. So only one task for every GATHER such items leaves containers with room.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ CAPACITY = 2048
 SEGMENTS = 256
 BLOCK = 8192
 FULL = 0.995
-GATHER = 256
+GATHER = 200_000
 
 
 def pack_block(tokens: np.ndarray, loss: np.ndarray, *, capacity: int = CAPACITY, segments: int = SEGMENTS, loss_capacity: int | None = None) -> list[list[int]]:
@@ -132,9 +132,9 @@ def pack(sized: DataFrame, *, capacity: int = CAPACITY, segments: int = SEGMENTS
     rows = pieces(sized.drop("container_id", "segment", "loss_tokens"), capacity=capacity, loss=loss, loss_capacity=loss_capacity)
     schema = rows.withColumn("container_id", F.lit(0).cast("long")).withColumn("segment", F.lit(0)).schema
     pack_with = lambda final: _packer(capacity, segments, capacity if loss_capacity is None else loss_capacity, block, final)
-    tasks = rows.rdd.getNumPartitions()
     first = materialize(rows.mapInPandas(pack_with(False), schema), "packed")
-    rest = first.filter("container_id < 0").drop("container_id", "segment").repartition(-(-tasks // GATHER))
+    rest = first.filter("container_id < 0").drop("container_id", "segment")
+    rest = rest.repartition(max(1, -(-rest.count() // GATHER)))
     # in one order however the rows arrive
     rest = rest.sortWithinPartitions("n_tokens", F.xxhash64(*[f.name for f in rest.schema.fields if f.dataType.typeName() not in ("map", "variant")]))
     return first.filter("container_id >= 0").unionByName(rest.mapInPandas(pack_with(True), schema))

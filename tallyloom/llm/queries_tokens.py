@@ -16,7 +16,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, piece, token_start, n_tokens, loss_tokens, container_id, segment) of every document."""
     docs = spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
-    return pack.pack(tokenize.encode(docs, size_only=True).select("doc_id", F.col("ids").alias("n_tokens")).coalesce(max(1, spark.sparkContext.defaultParallelism)))
+    return pack.pack(tokenize.encode(docs, size_only=True).select("doc_id", F.col("ids").alias("n_tokens")))
 
 
 QUERIES = {"p6_ids": p6_ids, "p7_containers": p7_containers}
