@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators.ranks import running_counts
+
 #: Controls are one row per market; above this number the match refuses rather than hold them in every task.
 MAX_CONTROLS = 200_000
 
@@ -147,21 +149,12 @@ def welch(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def kolmogorov_smirnov(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(ks, n0, n1): the largest distance between the distributions of groups 0 and 1.
-
-    Values are counted first; the running counts are then taken within ranges of values and completed by the totals of the ranges
-    before, so no task holds all values.
-    """
-    c = df.filter(F.col(value).isNotNull() & F.col(group).isin(0, 1)).groupBy(value).agg(F.sum((F.col(group) == 0).cast("long")).alias("c0"), F.sum((F.col(group) == 1).cast("long")).alias("c1"))
-    c = c.repartitionByRange(F.col(value)).withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part").orderBy(value)
-    run = c.withColumn("r0", F.sum("c0").over(w)).withColumn("r1", F.sum("c1").over(w))
-    part = c.groupBy("part").agg(F.sum("c0").alias("p0"), F.sum("c1").alias("p1"))
-    wp = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    part = part.withColumn("b0", F.coalesce(F.sum("p0").over(wp), F.lit(0))).withColumn("b1", F.coalesce(F.sum("p1").over(wp), F.lit(0))).select("part", "b0", "b1")
-    total = c.agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
-    both = run.join(part, "part").crossJoin(F.broadcast(total))
-    return both.agg(F.max(F.abs((F.col("r0") + F.col("b0")) / F.col("n0") - (F.col("r1") + F.col("b1")) / F.col("n1"))).alias("ks"), F.max("n0").alias("n0"), F.max("n1").alias("n1"))
+    """(ks, n0, n1): the largest distance between the distributions of groups 0 and 1; any number of values."""
+    ok = df.filter(F.col(group).isin(0, 1))
+    run = running_counts(ok, [], value, {f"c{g}": F.sum((F.col(group) == g).cast("long")) for g in (0, 1)})
+    total = run.agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"))
+    both = run.crossJoin(F.broadcast(total))
+    return both.agg(F.max(F.abs((F.col("c0") + F.col("before_c0")) / F.col("n0") - (F.col("c1") + F.col("before_c1")) / F.col("n1"))).alias("ks"), F.max("n0").alias("n0"), F.max("n1").alias("n1"))
 
 
 def prediction_metrics(df: DataFrame, truth: str, predictions: list[str], by: list[str] = ()) -> DataFrame:

@@ -29,10 +29,13 @@ class Fit:
 
     @property
     def se(self) -> np.ndarray:
-        return np.sqrt(np.maximum(np.diag(self.v), 0))
+        d = np.diag(self.v)
+        return np.where(np.isnan(self.b), np.nan, np.sqrt(np.maximum(np.nan_to_num(d), 0)))
 
     def rows(self) -> list[tuple]:
-        return [(t, float(b), float(s), float(b - 1.96 * s), float(b + 1.96 * s), self.n) for t, b, s in zip(self.terms, self.b, self.se, strict=True)]
+        """(term, b, se, lb, ub, n); a regressor that doesn't vary has nulls."""
+        say = lambda x: float(x) if np.isfinite(x) else None
+        return [(t, say(b), say(s), say(b - 1.96 * s), say(b + 1.96 * s), self.n) for t, b, s in zip(self.terms, self.b, self.se, strict=True)]
 
     def frame(self, spark) -> DataFrame:
         return spark.createDataFrame(self.rows(), "term string, b double, se double, lb double, ub double, n long")
@@ -44,7 +47,10 @@ def _pairs(k: int) -> list[tuple[int, int]]:
 
 def _solve(xx: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inv = np.linalg.pinv(xx)
-    return inv @ xy, inv
+    b, dead = inv @ xy, np.diag(xx) <= 1e-12
+    b[dead] = np.nan
+    inv[dead, :] = inv[:, dead] = np.nan if dead.all() else 0.0
+    return b, inv
 
 
 def drop_singletons(cells: DataFrame, factors: list[str], *, max_rounds: int = 20) -> DataFrame:
@@ -130,10 +136,10 @@ def fe_ols(df: DataFrame, y: str, xs: list[str], *, absorb: list[str] = (), clus
         full[i, j] = full[j, i] = x or 0.0
     b, inv = _solve(full[1:, 1:], full[1:, 0])
     if not clusters:
-        s2 = (full[0, 0] - b @ full[1:, 0]) / max(1, n - k + 1 - (0 if absorb else 1))
+        s2 = (full[0, 0] - np.nan_to_num(b) @ full[1:, 0]) / max(1, n - k + 1 - (0 if absorb else 1))
         return Fit(list(xs), b, inv * s2, n)
     at = lambda i, j: cross[min(i, j), max(i, j)]
-    score = [at(j, 0) - sum((at(j, i) * float(b[i - 1]) for i in range(1, k)), F.lit(0.0)) for j in range(1, k)]
+    score = [at(j, 0) - sum((at(j, i) * float(np.nan_to_num(b[i - 1])) for i in range(1, k)), F.lit(0.0)) for j in range(1, k)]
     cols = [f"u{j}" for j in range(1, k)]
     v, counts = _sandwich(cells.select(*clusters, *[c.alias(u) for c, u in zip(score, cols, strict=True)]), cols, inv, list(clusters), n)
     return Fit(list(xs), b, v, n, counts)
@@ -170,7 +176,7 @@ def fe_poisson(df: DataFrame, y: str, xs: list[str], *, absorb: list[str] = (),
         for (i, j), v in zip(_pairs(len(x)), got, strict=False):
             xx[i, j] = xx[j, i] = v
         b, inv = _solve(xx, np.array(got[len(_pairs(len(x))) :], float))
-        resid = F.col("dz") - sum((F.col(f"d{c}") * float(v) for c, v in zip(x, b, strict=True)), F.lit(0.0))
+        resid = F.col("dz") - sum((F.col(f"d{c}") * float(np.nan_to_num(v)) for c, v in zip(x, b, strict=True)), F.lit(0.0))
         d = d.withColumn("eta", F.col("z") - resid).withColumn("mu", F.col("n") * F.exp(F.greatest(F.least("eta", F.lit(50.0)), F.lit(-50.0))))
         seen = Observation()
         cells = materialize(d.observe(seen, (2 * F.sum(F.when(F.col("y") > 0, F.col("y") * F.ln(F.col("y") / F.col("mu"))).otherwise(0.0) - (F.col("y") - F.col("mu")))).alias("dev")), "cells")

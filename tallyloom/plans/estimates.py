@@ -43,7 +43,7 @@ def balanced(spark, d, first=2010, last=2018) -> DataFrame:
 BAL = ", b as (select * from my where yr between 2010 and 2018 and market in (select market from my where yr between 2010 and 2018 group by 1 having count(*) = 9)), x as (select *, treated * (yr >= 2014)::int did from b)"
 
 
-@query(" select market, round(regr_slope(lp, yr), 6) slope, round(regr_intercept(lp, yr), 3) intercept, count(*) n from my group by 1")
+@query(" select market, case when count(*) > 1 then round(regr_slope(lp, yr), 6) end slope, case when count(*) > 1 then round(regr_intercept(lp, yr), 3) end intercept, count(*) n from my group by 1")
 def ols_slope_by_market(spark, d):
     s = regress.slope_by(market_years(spark, d), ["market"], "lp", "yr")
     return s.select("market", F.when(F.col("n") > 1, r6("slope")).alias("slope"), F.when(F.col("n") > 1, F.round("intercept", 3)).alias("intercept"), "n")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import semantics as S
-from tallyloom.operators import merges, panel
+from tallyloom.operators import merges, panel, ranks
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -147,7 +147,7 @@ def explode_delimited(spark, d):
     return table(spark, d, "cluster_worksheet").select("cluster_label", F.explode(F.split("top_terms", ",")).alias("t")).select("cluster_label", F.trim("t").alias("term")).filter("term <> ''")
 
 
-@query("select cluster_label, cast(2009 + n as int) yr from cluster_worksheet cross join (select unnest(generate_series(1, 7)) n)", base=False)
+@query("select cluster_label, cast(2009 + n as int) yr from cluster_worksheet cross join (select unnest(generate_series(1, 4)) n)", base=False)
 def replicate_rows(spark, d):
     return table(spark, d, "cluster_worksheet").select("cluster_label", F.explode(F.sequence(F.lit(2010), F.lit(2013))).alias("yr"))
 
@@ -331,8 +331,8 @@ def correlations(spark, d):
 @query("select fold, round(corr(rk, rr), 7) spearman from (select fold, rank() over (partition by fold order by pred_knn) + (count(*) over (partition by fold, pred_knn) - 1) / 2.0 rk, rank() over (partition by fold order by pred_ridge) + (count(*) over (partition by fold, pred_ridge) - 1) / 2.0 rr from ridge_vs_knn where pred_knn is not null and pred_ridge is not null) group by fold", base=False)
 def spearman(spark, d):
     df = table(spark, d, "ridge_vs_knn").filter("pred_knn is not null and pred_ridge is not null")
-    rank = lambda c: F.rank().over(Window.partitionBy("fold").orderBy(c)) + (F.count("*").over(Window.partitionBy("fold", c)) - 1) / 2.0
-    return df.select("fold", rank("pred_knn").alias("rk"), rank("pred_ridge").alias("rr")).groupBy("fold").agg(r7(F.corr("rk", "rr")).alias("spearman"))
+    df = ranks.average_ranks(ranks.average_ranks(df.select("fold", "pred_knn", "pred_ridge"), ["fold"], "pred_knn", "rk"), ["fold"], "pred_ridge", "rr")
+    return df.groupBy("fold").agg(r7(F.corr("rk", "rr")).alias("spearman"))
 
 
 @query("select market, supplier modal_supplier, n from (select market, supplier, count(*) n, row_number() over (partition by market order by count(*) desc, supplier) r from lines where supplier is not null group by 1, 2) where r = 1")
@@ -479,7 +479,7 @@ def median_split_2x2(spark, d):
 @query(CLEAN + ", m as (select market, round(sum(spend), 6) s from cl group by 1), c as (select " + ", ".join(f"{_P(p, 's').replace('round(', '(').replace(', 7)', ')')} q{i}" for i, p in ((1, 0.25), (2, 0.5), (3, 0.75))) + " from m) select market, cast(1 + (s > q1)::int + (s > q2)::int + (s > q3)::int as int) bin from m, c")
 def quantile_bins(spark, d):
     m = clean(spark, d).groupBy("market").agg(F.round(F.sum("spend"), 6).alias("s"))
-    return panel.quantile_bins(m, "s", 7).select("market", "bin")
+    return panel.quantile_bins(m, "s", 4).select("market", "bin")
 
 
 @query("select uni, market, round(pr, 7) pr, round(cd, 7) cd from (select uni, market, percent_rank() over (partition by uni order by n) pr, cume_dist() over (partition by uni order by n) cd from (select uni, market, count(*) n from lines where market is not null group by 1, 2))")
