@@ -40,7 +40,9 @@ def gatekeeper(df: DataFrame, text: str, label: str, *, c: float = 10.0, balance
 
 def score(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
     """keep columns and p, the probability of class 1."""
-    return model.transform(df).select(*keep, vector_to_array("probability")[1].alias("p"))
+    out = model.transform(df).select(*keep, vector_to_array("probability")[1].alias("p"))
+    out._model = model  # its broadcast vocabulary goes with the Python object, and the plan runs later
+    return out
 
 
 def cluster_vectors(df: DataFrame, vector: str, *, k: int, components: int | None = None, seed: int = 42) -> DataFrame:
@@ -51,7 +53,10 @@ def cluster_vectors(df: DataFrame, vector: str, *, k: int, components: int | Non
         stages.append(PCA(k=components, inputCol=col, outputCol="__p"))
         col = "__p"
     stages += [Normalizer(inputCol=col, outputCol="__u"), KMeans(k=k, seed=seed, featuresCol="__u", predictionCol="cluster", distanceMeasure="cosine")]
-    return Pipeline(stages=stages).fit(df).transform(df).drop("__v", "__p", "__u")
+    model = Pipeline(stages=stages).fit(df)
+    out = model.transform(df).drop("__v", "__p", "__u")
+    out._model = model
+    return out
 
 
 def forest(df: DataFrame, features: list[str], label: str, *, folds: int = 5, trees: int = 40, seed: int = 42):

@@ -331,3 +331,36 @@ def weighted_least_squares(spark, d):
     z = balanced(spark, d).groupBy("market").agg(F.avg("lp").alias("x"), F.avg("ls").alias("y"), F.count("*").cast("double").alias("w"))
     z = z.crossJoin(F.broadcast(z.agg(F.avg("x").alias("mx"), F.stddev_samp("x").alias("sx")))).withColumn("zx", (F.col("x") - F.col("mx")) / F.col("sx"))
     return regress.fe_ols(z, "y", ["zx"], weight="w").frame(spark).select("term", r6("b").alias("b"))
+
+
+@query(_DID + ", sp as (select uni, market, coalesce(sum(spend), 0) s from cl where uni is not null group by 1, 2), sh as (select market, s / sum(s) over (partition by uni) sh from sp), k as (select market, avg(sh) x, any_value(b) g from sh join co using (market) group by 1), m as (select sum(x * x) / sum(x) mx, sum(x * g) / sum(x) mg from k) select 'x' term, round(sum(x * (x - mx) * (g - mg)) / sum(x * (x - mx) ** 2), 4) b from k, m")
+def shock_balance(spark, d):
+    """Weighted regression of the shocks on the mean shares that carry them."""
+    sh = panel.shares(R.clean(spark, d).filter("uni is not null"), ["uni"], "market", "spend")
+    k = sh.join(_coefs(spark, d), "market").groupBy("market").agg(F.avg("share").alias("x"), F.first("b").alias("g"))
+    return regress.fe_ols(k, "g", ["x"], weight="x").frame(spark).select("term", F.round("b", 4).alias("b"))
+
+
+@query(None)
+def optimal_match(spark, d):
+    """Each treated market with a control of its own at least total distance, among its thirty nearest ones."""
+    import numpy as np
+
+    near = causal.nearest_controls(_units(spark, d), "market", "treated", ["x1", "x2"], ratio=30).orderBy("treated", "rank").toPandas()  # thirty rows per treated market
+    t, c = sorted(near["treated"].unique()), sorted(near["control"].unique())
+    cost = np.full((len(t), len(c) + len(t)), 1e6)
+    for r in near.itertuples():
+        cost[t.index(r.treated), c.index(r.control)] = r.distance
+    pick = causal.optimal_pairs(cost) if t else []
+    return spark.createDataFrame([(a, c[j], float(cost[i, j])) for i, (a, j) in enumerate(zip(t, pick, strict=True)) if j < len(c)], "treated string, control string, distance double")
+
+
+@query(None)
+def ridge_by_neighbours(spark, d):
+    """Ridge of the exposure on both predictions and the similarity, on a bounded labelled sample of 2,000 rows by hash."""
+    import numpy as np
+
+    rows = R.table(spark, d, "ridge_vs_knn").filter("true_exposure between 0 and 1 and not isnan(true_exposure)").select("row_id", "true_exposure", "pred_knn", "pred_ridge", "max_sim_to_train").dropna().orderBy(F.xxhash64("row_id"), "row_id").limit(2000).toPandas()
+    x, y = rows[["pred_knn", "pred_ridge", "max_sim_to_train"]].to_numpy(float), rows["true_exposure"].to_numpy(float)
+    b, alpha = regress.ridge_gcv(x - x.mean(0), y - y.mean()) if len(rows) else (np.zeros(3), 0.0)
+    return spark.createDataFrame([(n, float(v), alpha) for n, v in zip(("pred_knn", "pred_ridge", "max_sim_to_train"), b, strict=True)], "term string, b double, alpha double")

@@ -146,12 +146,18 @@ def gatekeeper_scores(spark, d):
 
 @query(None)
 def kmeans_clusters(spark, d):
-    return models.cluster_vectors(R.table(spark, d, "embeddings").select("vec_id", "embedding", "label"), "embedding", k=10).groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
+    got = models.cluster_vectors(R.table(spark, d, "embeddings").select("vec_id", "embedding", "label"), "embedding", k=10)
+    out = got.groupBy("cluster").agg(F.count("*").alias("n"), F.countDistinct("label").alias("n_labels"))
+    out._model = got._model
+    return out
 
 
 @query(None)
 def pca_kmeans_clusters(spark, d):
-    return models.cluster_vectors(R.table(spark, d, "embeddings").select("vec_id", "embedding", "label"), "embedding", k=10, components=16).select("vec_id", "cluster")
+    got = models.cluster_vectors(R.table(spark, d, "embeddings").select("vec_id", "embedding", "label"), "embedding", k=10, components=16)
+    out = got.select("vec_id", "cluster")
+    out._model = got._model
+    return out
 
 
 def _exposure_rows(spark, d) -> DataFrame:
@@ -230,3 +236,11 @@ def geography_fill(spark, d):
     """A place from the name, else from a lookup, else the world."""
     n = R.table(spark, d, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     return R.table(spark, d, "customer").join(F.broadcast(n), "c_nationkey", "left").select("c_custkey", F.coalesce(F.when(F.col("c_name").endswith("9"), "nine"), "n_name", F.lit("world")).alias("region_name"))
+
+
+@query("select record_id, case when cleaned_description is null or regexp_matches(lower(cleaned_description), 'old') then 0 when regexp_matches(lower(cleaned_description), 'steel|glass') then 1 when data_source like '%non_lab%' then 0 when regexp_matches(lower(cleaned_description), 'valve|tube') then 1 else coalesce(label, 0) end label from training_dataset")
+def label_building(spark, d):
+    """Labels in order: anti-seeds, seeds, sources outside, keywords, the given label."""
+    t = F.lower("cleaned_description")
+    v, _ = rules.cascade([("anti", t.isNull() | t.rlike("old"), F.lit(0)), ("seed", t.rlike("steel|glass"), F.lit(1)), ("source", F.col("data_source").like("%non_lab%"), F.lit(0)), ("market", t.rlike("valve|tube"), F.lit(1))], F.coalesce("label", F.lit(0)))
+    return R.table(spark, d, "training_dataset").select("record_id", v.alias("label"))
