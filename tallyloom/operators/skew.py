@@ -46,3 +46,28 @@ def pairs_within(rows: DataFrame, key: list[str], id_: str, *, block: int = 4096
     if differ:
         both = both.filter(F.col("__da") != F.col("__db"))
     return both.select(f"{id_}_a", f"{id_}_b")
+
+
+def pairs_across(rows: DataFrame, key: list[str], id_: str, differ: str, *, block: int = 4096) -> DataFrame:
+    """(<id>_a, <id>_b): every pair of rows of equal key that differ in a column, smaller id first.
+
+    The work is the result: classes of rows alike in key and column are counted first, pairs of classes are formed, and only
+    their rows meet, in blocks of about block x block, so a class that has a third of all rows is many tasks and its rows
+    are never compared with each other. Repeated ids make repeated pairs; a null in key or column pairs with nothing.
+    """
+    classes = rows.groupBy(*key, differ).agg(F.count("*").alias("c"))
+    many = classes.groupBy(*key).agg(F.count("*").alias("kinds")).filter("kinds > 1").select(*key)
+    classes = classes.join(many, key, "left_semi")
+    a = classes.select(*key, F.col(differ).alias("__da"), F.col("c").alias("__ca"))
+    b = classes.select(*key, F.col(differ).alias("__db"), F.col("c").alias("__cb"))
+    pairs = a.join(b, key).filter(F.col("__da") < F.col("__db"))
+    pairs = pairs.withColumns({"__pa": F.ceil(F.col("__ca") / block).cast("int"), "__pb": F.ceil(F.col("__cb") / block).cast("int")})
+    part = lambda n: F.pmod(F.xxhash64(id_), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = [*key, "__da", "__db"]
+    left = salted_join(rows.select(*key, id_, F.col(differ).alias("__da")), pairs, [*key, "__da"], size="__ca", spread_by=[id_])
+    left = left.select(*at, F.col(id_).alias("__a"), part("__pa").alias("__i"), all_of("__pb").alias("__j"))
+    right = salted_join(rows.select(*key, id_, F.col(differ).alias("__db")), pairs, [*key, "__db"], size="__cb", spread_by=[id_])
+    right = right.select(*at, F.col(id_).alias("__b"), part("__pb").alias("__j"), all_of("__pa").alias("__i"))
+    both = left.join(right, [*at, "__i", "__j"]).filter("__a <> __b")
+    return both.select(F.least("__a", "__b").alias(f"{id_}_a"), F.greatest("__a", "__b").alias(f"{id_}_b"))
