@@ -27,25 +27,20 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
 
 
-def pairs_within(rows: DataFrame, key: list[str], id_: str, *, block: int = 4096, differ: str | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def pairs_within(rows: DataFrame, key: list[str], id_: str, *, block: int = 4096) -> DataFrame:
     """(<id>_a, <id>_b): every pair of rows of equal key, smaller id first; for results that are all such pairs.
 
     A key of many rows is joined in blocks: one side is spread over n / block parts, the other repeated for each, so no task
-    holds more than about block rows of one key against the whole. Keys of one row never reach the join. differ: a column
-    in which the two rows must differ. sizes: (key, n) of the keys to pair, if known.
+    holds more than about block rows of one key against the whole. Keys of one row never reach the join; null keys pair with
+    nothing.
     """
-    if sizes is None:
-        sizes = rows.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
-    extra = [differ] if differ else []
-    mine = salted_join(rows.select(*key, id_, *extra), sizes.select(*key, "n"), key, size="n", spread_by=[id_])
-    parts = F.ceil(F.col("n") / block).cast("int")
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("__n")).filter("__n > 1")
+    mine = salted_join(rows.select(*key, id_), sizes, key, size="__n", spread_by=[id_])
+    parts = F.ceil(F.col("__n") / block).cast("int")
     part = F.pmod(F.xxhash64(id_), parts).cast("int").alias("__part")
-    left = mine.select(F.col(id_).alias(f"{id_}_a"), *[F.col(k) for k in key], part, *[F.col(c).alias("__da") for c in extra])
-    right = mine.select(F.col(id_).alias(f"{id_}_b"), *[F.col(k) for k in key], F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"), *[F.col(c).alias("__db") for c in extra])
-    both = left.join(right, [*key, "__part"]).filter(F.col(f"{id_}_a") < F.col(f"{id_}_b"))
-    if differ:
-        both = both.filter(F.col("__da") != F.col("__db"))
-    return both.select(f"{id_}_a", f"{id_}_b")
+    left = mine.select(F.col(id_).alias(f"{id_}_a"), *[F.col(k) for k in key], part)
+    right = mine.select(F.col(id_).alias(f"{id_}_b"), *[F.col(k) for k in key], F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"))
+    return left.join(right, [*key, "__part"]).filter(F.col(f"{id_}_a") < F.col(f"{id_}_b")).select(f"{id_}_a", f"{id_}_b")
 
 
 def pairs_across(rows: DataFrame, key: list[str], id_: str, differ: str, *, block: int = 4096) -> DataFrame:
@@ -55,11 +50,11 @@ def pairs_across(rows: DataFrame, key: list[str], id_: str, differ: str, *, bloc
     their rows meet, in blocks of about block x block, so a class that has a third of all rows is many tasks and its rows
     are never compared with each other. Repeated ids make repeated pairs; a null in key or column pairs with nothing.
     """
-    classes = rows.groupBy(*key, differ).agg(F.count("*").alias("c"))
-    many = classes.groupBy(*key).agg(F.count("*").alias("kinds")).filter("kinds > 1").select(*key)
+    classes = rows.groupBy(*key, differ).agg(F.count("*").alias("__c"))
+    many = classes.groupBy(*key).agg(F.count("*").alias("__k")).filter("__k > 1").select(*key)
     classes = classes.join(many, key, "left_semi")
-    a = classes.select(*key, F.col(differ).alias("__da"), F.col("c").alias("__ca"))
-    b = classes.select(*key, F.col(differ).alias("__db"), F.col("c").alias("__cb"))
+    a = classes.select(*key, F.col(differ).alias("__da"), F.col("__c").alias("__ca"))
+    b = classes.select(*key, F.col(differ).alias("__db"), F.col("__c").alias("__cb"))
     pairs = a.join(b, key).filter(F.col("__da") < F.col("__db"))
     pairs = pairs.withColumns({"__pa": F.ceil(F.col("__ca") / block).cast("int"), "__pb": F.ceil(F.col("__cb") / block).cast("int")})
     part = lambda n: F.pmod(F.xxhash64(id_), F.col(n)).cast("int")
