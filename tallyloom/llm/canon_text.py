@@ -231,16 +231,13 @@ def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", *,
     """(<key>_a, <key>_b): each pair of rows with different stored texts of the same canonical form, smaller key first.
 
     Null texts and texts without anything visible pair with nothing. Forms and stored texts are compared by their SHA-256.
-    Only forms with two or more different stored texts are joined; a form that many rows share is joined in blocks of
-    about `block` rows, each a task's key of its own, as every such pair is a result.
+    Only rows of different stored texts of one form meet, in blocks, so the work is the number of pairs, which are the result.
     """
-    from tallyloom.operators.skew import pairs_within
+    from tallyloom.operators.skew import pairs_across
     from tallyloom.runtime import materialize
 
     sha = lambda c: F.unhex(F.sha2(c, 256))
     src = df.select(F.col(key).alias("id"), F.col(text).alias("text")).filter("text is not null")
     rows = canonical(src).filter(F.col("canonical").rlike(r"[^\s\p{Z}\p{C}]")).select("id", sha(F.col("canonical")).alias("form"), sha(F.col("text")).alias("stored"))
     rows = materialize(rows, "forms")
-    classes = rows.groupBy("form", "stored").agg(F.count("*").alias("c"))
-    varied = classes.groupBy("form").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")).filter("kinds > 1").select("form", "n")
-    return pairs_within(rows.withColumnRenamed("id", key), ["form"], key, block=block, differ="stored", sizes=varied)
+    return pairs_across(rows.withColumnRenamed("id", key), ["form"], key, "stored", block=block)
