@@ -33,6 +33,7 @@ JOINERS, SELECTORS = (0x200C, 0x200D), ((0xFE00, 0xFE0F), (0xE0100, 0xE01EF))
 PICTURES = ((0x203C, 0x203C), (0x2049, 0x2049), (0x2122, 0x2122), (0x2139, 0x2139), (0x2190, 0x21FF), (0x2300, 0x23FF), (0x24C2, 0x24C2), (0x25A0, 0x27BF), (0x2900, 0x297F), (0x2B00, 0x2BFF), (0x1F000, 0x1FAFF))
 JOINING = ((0x600, 0x8FF), (0x900, 0xDFF), (0xF00, 0x109F), (0x1780, 0x18AF), (0xA840, 0xA87F), (0xFB50, 0xFDFF), (0xFE70, 0xFEFE))
 TOP = 0x110000
+SLICE = 4 << 20
 
 
 def _ranges(pairs) -> np.ndarray:
@@ -137,12 +138,21 @@ def _compose(t: Tables, cps: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, n
 
 
 def canonical_column(col: pa.Array) -> pa.Array:
-    """The canonical form of every text; null stays null, empty stays empty."""
+    """The canonical form of every text; null stays null, empty stays empty.
+
+    Works through slices of about SLICE bytes, as the arrays take some forty times the text; a longer text is a slice.
+    """
+    col = pa.concat_arrays([col]).cast(pa.string()) if col.offset else col.cast(pa.string())
+    ends = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1)[1:].astype(np.int64) if len(col) else np.zeros(0, np.int64)
+    if not len(col) or ends[-1] <= SLICE:
+        return _canonical_slice(col)
+    cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(ends // SLICE, prepend=0)) , [len(col)]]))
+    return pa.concat_arrays([_canonical_slice(pa.concat_arrays([col.slice(a, b - a)])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def _canonical_slice(col: pa.Array) -> pa.Array:
     t = tables()
     n = len(col)
-    if col.offset:
-        col = pa.concat_arrays([col])
-    col = col.cast(pa.string())
     valid, offs, data = col.buffers()
     offs = np.frombuffer(offs, np.int32, n + 1).astype(np.int64) if n else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
@@ -151,7 +161,7 @@ def canonical_column(col: pa.Array) -> pa.Array:
         return col
     cps = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offs]
-    row = np.repeat(np.arange(n, dtype=np.int64), np.diff(chars))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(chars))
 
     keep = ~t.gone[cps]
     cps, row = cps[keep], row[keep]

@@ -64,3 +64,12 @@ def test_large_shuffled_batch_matches_single_rows():
     letters = "ab́̈‍сл ａﬁ\U0001f469\U0001f52c️\r\n"
     texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 9))) for _ in range(3000)]
     assert canon(*texts) == [canon(t)[0] for t in texts]
+
+
+def test_slices_change_nothing(monkeypatch):
+    random.seed(2)
+    texts = [None if random.random() < 0.1 else "".join(random.choice("ab\u0301\u0308\u0441 \uff41\ufb01\r\n") for _ in range(random.randint(0, 30))) for _ in range(1500)]
+    whole = canon(*texts)
+    for size in (7, 300, 9000):
+        monkeypatch.setattr(C, "SLICE", size)
+        assert canon(*texts) == whole
