@@ -5,21 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.runtime import materialize
 
-def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], *, size: str, spread_by: list[str], hot: int = 50_000, salts: int = 32, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
-    """Joins rows to the one row of its key in groups, whose column `size` holds the number of rows of that key.
 
-    Groups of more than `hot` rows are written `salts` times and their rows spread over as many tasks. The hot keys are
-    found on the small side only; the rows learn of them from a broadcast set that has at most total / hot entries of
-    one 64-bit hash each (a third of 10^12 rows in hot keys gives under 7 MB). Keys that are null match nothing. sizes:
-    where groups is costly to compute, a cheaper table with the same keys and sizes to find the hot keys in.
+#: A key is hot above HOT rows and above the share 1 / MOST_HOT of all rows, so there are at most MOST_HOT hot keys.
+HOT, MOST_HOT = 50_000, 10_000
+
+
+def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], *, size: str, spread_by: list[str], hot: int = HOT, sizes: DataFrame | None = None) -> DataFrame:
+    """Joins rows to the row (or rows) of their key in groups, whose column `size` holds the number of rows of that key.
+
+    A key above the bound is cut into parts of about the bound: its groups are written once a part and its rows spread over
+    the parts. The rows learn of hot keys from a broadcast of at most MOST_HOT hashes, at any size of the input. groups is
+    written to the shared folder first, as it is read three times; where that would be costly, sizes is a cheap table with the
+    same keys and sizes, and groups is read once. Keys that are null match nothing.
     """
+    if sizes is None:
+        groups = sizes = materialize(groups, "groups")
+    total = sizes.agg(F.sum(size)).first()[0] or 0
+    bound = max(hot, -(-total // MOST_HOT))
     digest = lambda: F.xxhash64(*[F.col(k) for k in keys])
-    hot_set = (groups if sizes is None else sizes).filter(F.col(size) > hot).select(digest().alias("__hot")).distinct()
-    left = rows.withColumn("__k", digest()).join(F.broadcast(hot_set), F.col("__k") == F.col("__hot"), "left")
-    left = left.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*spread_by), F.lit(salts))).otherwise(0).cast("int")).drop("__k", "__hot")
-    right = groups.withColumn("__salt", F.explode(F.when(F.col(size) > hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+    parts = lambda c: F.ceil(c / F.lit(bound)).cast("int")
+    hot_set = sizes.filter(F.col(size) > bound).groupBy(digest().alias("__hot")).agg(parts(F.max(size)).alias("__parts"))
+    hot_set = F.broadcast(hot_set)
+    # both sides ask the same set, so two keys of one hash can't part ways
+    tag = lambda df: df.withColumn("__k", digest()).join(hot_set, F.col("__k") == F.col("__hot"), "left").withColumn("__parts", F.coalesce("__parts", F.lit(1))).drop("__k", "__hot")
+    left = tag(rows).withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.col("__parts")).cast("int")).drop("__parts")
+    right = tag(groups).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
 
 
 def is_blank(c: Column) -> Column:
@@ -56,13 +69,13 @@ def pairs_across(rows: DataFrame, key: list[str], id_: str, differ: str, *, bloc
     a = classes.select(*key, F.col(differ).alias("__da"), F.col("__c").alias("__ca"))
     b = classes.select(*key, F.col(differ).alias("__db"), F.col("__c").alias("__cb"))
     pairs = a.join(b, key).filter(F.col("__da") < F.col("__db"))
-    pairs = pairs.withColumns({"__pa": F.ceil(F.col("__ca") / block).cast("int"), "__pb": F.ceil(F.col("__cb") / block).cast("int")})
+    pairs = materialize(pairs, "pairs").withColumns({"__pa": F.ceil(F.col("__ca") / block).cast("int"), "__pb": F.ceil(F.col("__cb") / block).cast("int")})
     part = lambda n: F.pmod(F.xxhash64(id_), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     at = [*key, "__da", "__db"]
-    left = salted_join(rows.select(*key, id_, F.col(differ).alias("__da")), pairs, [*key, "__da"], size="__ca", spread_by=[id_])
+    left = salted_join(rows.select(*key, id_, F.col(differ).alias("__da")), pairs, [*key, "__da"], size="__ca", spread_by=[id_], sizes=pairs)
     left = left.select(*at, F.col(id_).alias("__a"), part("__pa").alias("__i"), all_of("__pb").alias("__j"))
-    right = salted_join(rows.select(*key, id_, F.col(differ).alias("__db")), pairs, [*key, "__db"], size="__cb", spread_by=[id_])
+    right = salted_join(rows.select(*key, id_, F.col(differ).alias("__db")), pairs, [*key, "__db"], size="__cb", spread_by=[id_], sizes=pairs)
     right = right.select(*at, F.col(id_).alias("__b"), part("__pb").alias("__j"), all_of("__pa").alias("__i"))
     both = left.join(right, [*at, "__i", "__j"]).filter("__a <> __b")
     return both.select(F.least("__a", "__b").alias(f"{id_}_a"), F.greatest("__a", "__b").alias(f"{id_}_b"))
