@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.operators.skew import salted_join
+from tallyloom.runtime import materialize
 
 #: Fixed value: the pre-tokenizer of the public byte_bpe vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -190,7 +191,6 @@ def encode(docs: DataFrame, text: str = "text", *, path: str | None = None, leaf
         return pd.DataFrame({"__sha": [pdf["__sha"].iloc[0]], "ids": [len(ids) if size_only else ids]})
 
     got = parts.mapInPandas(leaves, "__sha binary, __n int, pieces array<string>, tokens array<array<int>>").groupBy("__sha").applyInPandas(joined, T.StructType([T.StructField("__sha", T.BinaryType()), T.StructField("ids", kind)]))
-    sizes = long.groupBy("__sha").agg(F.count("*").alias("__many"))
-    got = got.join(sizes, "__sha")
+    sizes = materialize(long.groupBy("__sha").agg(F.count("*").alias("__many")), "sizes")
     back = salted_join(long.drop("__text").withColumn("__spread", F.monotonically_increasing_id()), got, ["__sha"], size="__many", spread_by=["__spread"], sizes=sizes)
-    return short.unionByName(back.drop("__sha", "__many", "__spread"))
+    return short.unionByName(back.drop("__sha", "__spread"))

@@ -40,4 +40,4 @@ def test_hot_group_is_whole(spark):
 
     rows = spark.range(500).selectExpr("id", "if(id < 400, 1, id) as k")
     groups = rows.groupBy("k").count()
-    assert salted_join(rows, groups, ["k"], size="count", spread_by=["id"], hot=10, salts=4).count() == 500
+    assert salted_join(rows, groups, ["k"], size="count", spread_by=["id"], hot=10).count() == 500
