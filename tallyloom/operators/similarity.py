@@ -133,3 +133,28 @@ def shrink_shares(shares: DataFrame, unit: str, market: str, amount: str, alpha:
     # a unit's row is dense over the markets, which are a list
     dense = unit_total.crossJoin(F.broadcast(prior)).join(by, [unit, market], "left")
     return dense.select(unit, market, ((F.coalesce("a", F.lit(0.0)) + F.lit(alpha) * F.col("prior")) / (F.col("t") + alpha)).alias("share"))
+
+
+def char_counts(df: DataFrame, key: str, text: str, *, low: int = 3, high: int = 5) -> DataFrame:
+    """(key, term, tf): counts of the character runs of low..high inside words that have a space on either side.
+
+    A padded word shorter than low is one run of its own. Null and empty texts have none.
+    """
+    words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda x: x != "")
+
+    def runs(p, n: int):
+        return F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.substring(p, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    padded = df.select(key, F.explode(words).alias("__w")).select(key, F.concat(F.lit(" "), "__w", F.lit(" ")).alias("__p"))
+    p = F.col("__p")
+    grams = F.concat(F.when(F.length(p) < low, F.array(p)).otherwise(F.array().cast("array<string>")), *[runs(p, n) for n in range(low, high + 1)])
+    return padded.select(key, F.explode(grams).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+
+
+def concat_blocks(blocks: list[tuple[str, DataFrame, float]], key: str) -> DataFrame:
+    """(key, term, weight): blocks (name, unit-length weights, factor) side by side, terms prefixed by their block's name."""
+    parts = [w.select(key, F.concat(F.lit(f"{name}:"), "term").alias("term"), (F.col("weight") * factor).alias("weight")) for name, w, factor in blocks]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

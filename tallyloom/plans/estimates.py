@@ -364,3 +364,8 @@ def ridge_by_neighbours(spark, d):
     x, y = rows[["pred_knn", "pred_ridge", "max_sim_to_train"]].to_numpy(float), rows["true_exposure"].to_numpy(float)
     b, alpha = regress.ridge_gcv(x - x.mean(0), y - y.mean()) if len(rows) else (np.zeros(3), 0.0)
     return spark.createDataFrame([(n, float(v), alpha) for n, v in zip(("pred_knn", "pred_ridge", "max_sim_to_train"), b, strict=True)], "term string, b double, alpha double")
+
+
+@query("with w as (select suppliername, unnest(list_filter(regexp_split_to_array(lower(suppliername), '\\s+'), lambda x: x <> '')) w from supplier_map), p as (select suppliername, ' ' || w || ' ' p from w), g as (select suppliername, substr(p, i, n) term from (select *, unnest(generate_series(1, 60)) i from p) cross join (values (3), (4), (5)) t(n) where i + n - 1 <= length(p)) select suppliername, term, count(*) tf from g group by 1, 2", base=False)
+def char_ngram_counts(spark, d):
+    return similarity.char_counts(R.table(spark, d, "supplier_map"), "suppliername", "suppliername")

@@ -318,3 +318,11 @@ def test_stream_panel(spark, tmp_path):
     want = spark.read.parquet(str(tmp_path / "in")).groupBy("event_type", F.to_date("ts").alias("d")).agg(F.count("*").alias("n"))
     j = got.withColumn("d", F.to_date("period_start")).join(want.withColumnRenamed("n", "m"), ["event_type", "d"])
     assert j.count() == got.count() > 0 and j.filter("n <> m").count() == 0
+
+
+def test_char_runs_and_blocks(spark):
+    df = spark.createDataFrame([(1, "ab c"), (2, None)], "id int, t string")
+    got = {(r.id, r.term): r.tf for r in similarity.char_counts(df, "id", "t", low=3, high=4).collect()}
+    assert got == {(1, " ab"): 1, (1, "ab "): 1, (1, " ab "): 1, (1, " c "): 1}
+    w = spark.createDataFrame([(1, "x", 1.0)], "id int, term string, weight double")
+    assert sorted(map(tuple, similarity.concat_blocks([("a", w, 0.85), ("b", w, 0.15)], "id").collect())) == [(1, "a:x", 0.85), (1, "b:x", 0.15)]
