@@ -166,11 +166,10 @@ def fe_poisson(df: DataFrame, y: str, xs: list[str], *, absorb: list[str] = (),
     n = int(cells.agg(F.sum("n")).first()[0] or 0)
     mean = cells.agg(F.sum("y") / F.sum("n")).first()[0] or 1.0
     cells = cells.withColumn("mu", (F.col("y") + F.col("n") * F.lit(mean)) / 2).withColumn("eta", F.ln(F.col("mu") / F.col("n")))
-    old, b, inv = None, np.zeros(len(xs)), np.eye(len(xs))
+    old, gap, b, inv = None, 1e-3, np.zeros(len(xs)), np.eye(len(xs))
     for _ in range(max_rounds):
         work = cells.withColumns({"w": F.col("mu"), "z": F.col("eta") + (F.col("y") - F.col("mu")) / F.col("mu"), **{f"d{c}": F.col(c) for c in x}}).withColumn("dz", F.col("z"))
-        gap = 1e-3 if old is None else 1e-9
-        d = demean(materialize(work, "work"), ["dz", *[f"d{c}" for c in x]], list(absorb), tol=gap)
+        d = demean(work, ["dz", *[f"d{c}" for c in x]], list(absorb), tol=gap)
         got = d.agg(*[F.sum(F.col("w") * F.col(f"d{x[i]}") * F.col(f"d{x[j]}")) for i, j in _pairs(len(x))], *[F.sum(F.col("w") * F.col(f"d{c}") * F.col("dz")) for c in x]).first()
         xx = np.zeros((len(x), len(x)))
         for (i, j), v in zip(_pairs(len(x)), got, strict=False):
@@ -181,9 +180,11 @@ def fe_poisson(df: DataFrame, y: str, xs: list[str], *, absorb: list[str] = (),
         seen = Observation()
         cells = materialize(d.observe(seen, (2 * F.sum(F.when(F.col("y") > 0, F.col("y") * F.ln(F.col("y") / F.col("mu"))).otherwise(0.0) - (F.col("y") - F.col("mu")))).alias("dev")), "cells")
         dev = seen.get["dev"] or 0.0
-        if old is not None and abs(dev - old) <= tol * max(1.0, abs(dev)):
+        change = 1.0 if old is None else abs(dev - old) / max(1.0, abs(dev))
+        if change <= tol and gap <= 1e-7:
             break
-        old = dev
+        # the inner projections are as exact as the outer step deserves
+        old, gap = dev, max(1e-9, min(1e-3, change * 1e-2))
     if not clusters:
         return Fit(list(xs), b, inv, n)
     cols = [f"u{i}" for i in range(len(x))]
