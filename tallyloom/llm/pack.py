@@ -52,7 +52,6 @@ def pack_block(tokens: np.ndarray, loss: np.ndarray, *, capacity: int = CAPACITY
             if not len(fits):
                 break
             best = fits[np.argmax(vec[fits] @ (weight * room))]
-            # as many of the class as stay the best choice would differ little; take one and look again
             members.append(int(order[first[best]]))
             first[best] += 1
             left[best] -= 1
