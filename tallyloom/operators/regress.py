@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.runtime import materialize
@@ -69,8 +69,8 @@ def demean(cells: DataFrame, columns: list[str], factors: list[str], weight: str
     """Weighted alternating projections: the columns minus their means by each factor in turn, until nothing moves.
 
     Level means are an aggregate joined back, so a level with a third of the cells isn't one task's work. A single factor
-    needs one sweep. The stop rule is the largest change of a sweep against the largest value of its column,
-    measured while the sweep is written, so a sweep is one job.
+    needs one sweep. The stop rule is the largest change of a sweep against the largest value of its column.
+    (It is read from the written sweep: an Observation would leave the session unable to serialise MLlib's closures.)
     """
     if not factors:
         m = cells.agg(*[(F.sum(F.col(weight) * F.col(c)) / F.sum(weight)).alias(f"__m_{c}") for c in columns])
@@ -81,10 +81,10 @@ def demean(cells: DataFrame, columns: list[str], factors: list[str], weight: str
         for f in factors:
             m = new.groupBy(f).agg(*[(F.sum(F.col(weight) * F.col(c)) / F.sum(weight)).alias(f"__m_{c}") for c in columns])
             new = new.join(m, f).withColumns({c: F.col(c) - F.col(f"__m_{c}") for c in columns}).drop(*[f"__m_{c}" for c in columns])
-        seen = Observation()
-        new = new.observe(seen, *[F.max(F.abs(F.col(c) - F.col(f"__o_{c}"))).alias(c) for c in columns])
-        cells = materialize(new.drop(*[f"__o_{c}" for c in columns]), "cells")
-        moved = max((seen.get.get(c) or 0.0) / (s or 1.0) for c, s in zip(columns, scale, strict=True))
+        new = materialize(new, "cells")
+        steps = new.agg(*[F.max(F.abs(F.col(c) - F.col(f"__o_{c}"))) for c in columns]).first()
+        cells = new.drop(*[f"__o_{c}" for c in columns])
+        moved = max((m or 0.0) / (s or 1.0) for m, s in zip(steps, scale, strict=True))
         if len(factors) == 1 or moved < tol:
             return cells
     raise RuntimeError(f"demeaning did not settle in {max_sweeps} sweeps")
@@ -177,9 +177,8 @@ def fe_poisson(df: DataFrame, y: str, xs: list[str], *, absorb: list[str] = (),
         b, inv = _solve(xx, np.array(got[len(_pairs(len(x))) :], float))
         resid = F.col("dz") - sum((F.col(f"d{c}") * float(np.nan_to_num(v)) for c, v in zip(x, b, strict=True)), F.lit(0.0))
         d = d.withColumn("eta", F.col("z") - resid).withColumn("mu", F.col("n") * F.exp(F.greatest(F.least("eta", F.lit(50.0)), F.lit(-50.0))))
-        seen = Observation()
-        cells = materialize(d.observe(seen, (2 * F.sum(F.when(F.col("y") > 0, F.col("y") * F.ln(F.col("y") / F.col("mu"))).otherwise(0.0) - (F.col("y") - F.col("mu")))).alias("dev")), "cells")
-        dev = seen.get["dev"] or 0.0
+        cells = materialize(d, "cells")
+        dev = cells.agg(2 * F.sum(F.when(F.col("y") > 0, F.col("y") * F.ln(F.col("y") / F.col("mu"))).otherwise(0.0) - (F.col("y") - F.col("mu")))).first()[0] or 0.0
         change = 1.0 if old is None else abs(dev - old) / max(1.0, abs(dev))
         if change <= tol and gap <= 1e-7:
             break
