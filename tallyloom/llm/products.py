@@ -17,6 +17,7 @@ from decimal import Decimal
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,7 +89,9 @@ PACKS = [(re.compile(rf"{N}\s*(?:bags|packs|boxes) of\s*{N}"), "product"), (re.c
 CUES, MODELS = ("mfr", "by", "maker", "from"), ("model", "mdl", "series")
 PLAIN = frozenset("for in the of with and type use lab".split())
 SPLIT = r" \| |; | - "
-LEAST_SHARE, LEAST_COUNT, MAX_TERMS = 5e-4, 3, 200_000
+LEAST_COUNT, MAX_TERMS = 3, 1_000_000
+#: A word is a misspelling of one so near that is this many times as frequent.
+MISSPELT = 10
 
 
 def flat(text: str) -> str:
@@ -103,8 +106,8 @@ def number(s: str) -> Decimal:
 def mine(listings: DataFrame, key: str = "listing_id", text: str = "cleaned_description", category: str = "category") -> dict:
     """{'words': [...], 'makers': [...], 'kinds': {phrase: kind}}, counted over all listings.
 
-    A term enters if LEAST_SHARE of the rows it could be in have it (LEAST_COUNT at least), which bounds the dictionary by the
-    pieces of a listing over the share, whatever the input; MAX_TERMS is checked all the same.
+    A term enters with LEAST_COUNT mentions, in a table of any size, unless it or a word of it is a misspelling (see right_words).
+    What is collected are the distinct terms of so many mentions, misspellings among them, checked against MAX_TERMS.
     """
     low = listings.select(F.lower(F.col(text)).alias("t"), F.lower(F.trim(F.col(category))).alias("c")).filter("t is not null")
     words = low.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit("[a-z]{2,}"), F.lit(0)))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
@@ -116,27 +119,45 @@ def mine(listings: DataFrame, key: str = "listing_id", text: str = "cleaned_desc
     )
     makers = pieces.select(maker.alias("w")).filter("w is not null").groupBy("w").agg(F.count("*").alias("n"))
     plain = F.trim(F.regexp_replace("p", r"[^a-z]+", " "))
-    kinds = pieces.filter(~F.col("p").rlike(r"[0-9]") & F.col("c").isNotNull()).groupBy(plain.alias("w"), "c").agg(F.count("*").alias("n"))
-    total = low.agg(F.count("*")).first()[0]
-    least = max(LEAST_COUNT, int(LEAST_SHARE * total))
-    rows = words.select(F.lit("word").alias("what"), "w", F.lit("").alias("c"), "n").unionByName(makers.select(F.lit("maker").alias("what"), "w", F.lit("").alias("c"), "n")).filter(F.col("n") >= least)
-    # of a kind only the categories that matter: each at least a fifth of the least count
-    rows = rows.unionByName(kinds.select(F.lit("kind").alias("what"), "w", "c", "n").filter(F.col("n") >= max(1, least // 5)))
-    got = rows.limit(MAX_TERMS + 1).collect()
+    kinds = pieces.filter(~F.col("p").rlike(r"[0-9]") & F.col("c").isNotNull()).groupBy(plain.alias("w"), "c").agg(F.count("*").alias("k"))
+    kinds = kinds.groupBy("w").agg(F.max_by("c", F.struct("k", "c")).alias("c"), F.max("k").alias("k"), F.sum("k").alias("n"))
+    rows = words.select(F.lit("word").alias("what"), "w", F.lit("").alias("c"), F.lit(0).cast("long").alias("k"), "n").unionByName(makers.select(F.lit("maker").alias("what"), "w", F.lit("").alias("c"), F.lit(0).cast("long").alias("k"), "n"))
+    rows = rows.unionByName(kinds.filter("k >= 0.35 * n").select(F.lit("kind").alias("what"), "w", "c", "k", "n")).filter(F.col("n") >= LEAST_COUNT)
+    got = rows.limit(MAX_TERMS + 1).toPandas()
     if len(got) > MAX_TERMS:
         raise ValueError("the mined dictionary is too large")
+    of_what = {what: g for what, g in got.groupby("what")}
+    none = got.iloc[:0]
+    right = right_words(dict(zip(of_what.get("word", none)["w"], of_what.get("word", none)["n"], strict=True)))
     fixed = {p for table in (MATERIALS, FEATURES) for ps in table.values() for p in ps}
-    heard = {r["w"] for r in got if r["what"] == "maker"} - {w for p in fixed for w in p.split()} - PLAIN
-    per: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in got:
-        if r["what"] == "kind" and r["w"] and r["w"] not in fixed and not set(r["w"].split()) & (heard | {"model", "mdl", "series", "brand", "dozen", "dz", "each", "single"}):
-            per[r["w"]][r["c"]] = r["n"]
+    heard = (set(of_what.get("maker", none)["w"]) & right) - {w for p in fixed for w in p.split()} - PLAIN
+    no_kind = heard | {"model", "mdl", "series", "brand", "dozen", "dz", "each", "single"}
     of = {}
-    for w, cs in per.items():
-        top = max(cs, key=lambda c: (cs[c], c))
-        if sum(cs.values()) >= least and cs[top] >= 0.35 * sum(cs.values()):
-            of[w] = top
-    return {"words": sorted(r["w"] for r in got if r["what"] == "word"), "makers": sorted(heard), "kinds": same_kinds(of)}
+    right_kinds = right_words(dict(zip(of_what.get("kind", none)["w"], of_what.get("kind", none)["n"], strict=True)))
+    for w, c in zip(of_what.get("kind", none)["w"], of_what.get("kind", none)["c"], strict=True):
+        ws = {x for x in w.split() if len(x) > 1}
+        if ws and w in right_kinds and w not in fixed and ws <= right and not set(w.split()) & no_kind:
+            of[w] = c
+    return {"words": sorted(right), "makers": sorted(heard), "kinds": same_kinds(of)}
+
+
+def _letters(words: list[str]) -> np.ndarray:
+    """The set of letters of each word as bits."""
+    return np.array([sum({1 << (ord(c) - 97) for c in w if "a" <= c <= "z"}) for w in words], np.int64)
+
+
+def right_words(counts: dict[str, int]) -> set[str]:
+    """The words but for misspellings: those an edit (two from seven letters on) away from a word MISSPELT times as frequent."""
+    large = sorted((w for w, n in counts.items() if n >= MISSPELT * LEAST_COUNT), key=lambda w: (len(w), w))
+    size, often, letters = np.array([len(w) for w in large]), np.array([counts[w] for w in large]), _letters(large)
+    out = set()
+    for (w, n), mine_ in zip(counts.items(), _letters(list(counts)), strict=True):
+        most = 1 if len(w) < 7 else 2
+        # an edit changes the set of letters by two at most
+        maybe = np.nonzero((often >= MISSPELT * n) & (np.abs(size - len(w)) <= most) & (np.bitwise_count(letters ^ mine_) <= 2 * most))[0] if large else ()
+        if not any(edits(w, large[i], most) <= most for i in maybe):
+            out.add(w)
+    return out
 
 
 def same_kinds(of: dict[str, str]) -> dict[str, str]:
@@ -178,19 +199,23 @@ class Reader:
         self.auto.make_automaton()
         loose = {(frozenset(p.split()) - PLAIN, kind) for p, kind in kinds}
         self.loose = sorted(((w, k) for w, k in loose if len(w) > 1), key=lambda x: (-len(x[0]), x[1], sorted(x[0])))
+        self.parts = {w for p in phrases for w in p.split()} | PLAIN | set(CUES) | set(MODELS) | {"brand"}
         self.known = {w for p in phrases for w in p.split()} | self.makers | set(words) | PLAIN | set(CUES) | set(MODELS) | {"brand"}
         # a misspelling is read as a word that means something here, or as a frequent word
         self.targets: dict[str, list[str]] = defaultdict(list)
         for w in sorted(w for w in self.known if len(w) > 3 and w.isalpha()):
             for n in range(len(w) - 2, len(w) + 3):
                 self.targets[n].append(w)
+        self.letters = {n: _letters(ws) for n, ws in self.targets.items()}
         self.spell = lru_cache(maxsize=100_000)(self._spell)
 
     def _spell(self, w: str) -> str:
         if w in self.known or len(w) < 4 or not w.isalpha():
             return w
         most, best = 1 if len(w) < 7 else 2, None
-        for v in self.targets.get(len(w), ()):
+        near = self.targets.get(len(w), [])
+        for i in np.nonzero(np.bitwise_count(self.letters[len(w)] ^ _letters([w])[0]) <= 2 * most)[0] if near else ():
+            v = near[i]
             d = edits(w, v, most)
             if d <= most and (best is None or (d, v) < best):
                 best = (d, v)
@@ -272,7 +297,7 @@ class Reader:
             style = j < len(tokens) and tokens[j] in MODELS
             j += style
             letter = j < len(tokens) and len(tokens[j]) == 1 and tokens[j].isalpha()
-            if not (w in self.makers or (len(w) > 3 and w.isalpha() and letter and (brand or style) and w not in self.known)):
+            if not (w in self.makers or (len(w) > 3 and w.isalpha() and letter and (cue or brand or style) and w not in self.parts)):
                 continue
             strength = (w in self.makers) * 4 + letter * 2 + (cue or brand or style)
             if best is None or strength > best[0]:
@@ -292,7 +317,6 @@ def reader(words: tuple, makers: tuple, kinds: tuple) -> Reader:
 
 
 ATTRIBUTES = ("kind", "size", "pack", "material", "feature", "maker", "model")
-MUST = ("kind", "size", "maker")
 
 
 def attributes(listings: DataFrame, key: str = "listing_id", text: str = "cleaned_description", category: str = "category") -> DataFrame:
@@ -314,7 +338,9 @@ def attributes(listings: DataFrame, key: str = "listing_id", text: str = "cleane
 
 
 def grouped(read: DataFrame) -> DataFrame:
-    """read with `product`, a hash of all attributes; listings that lack one of MUST belong to no product and are left out."""
-    for a in MUST:
-        read = read.filter(F.col(a).isNotNull())
+    """read with `product`, a hash of all attributes; what a listing doesn't state is equal to what another doesn't state.
+
+    Only listings that state nothing at all belong to no product and are left out.
+    """
+    read = read.filter(F.coalesce(*ATTRIBUTES).isNotNull())
     return read.withColumn("product", F.unhex(F.sha2(F.to_json(F.struct(*ATTRIBUTES), {"ignoreNullFields": "false"}), 256)))

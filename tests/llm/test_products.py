@@ -41,3 +41,32 @@ def test_tables(spark):
     assert [r.kind for r in P.attributes(odd).collect()] == [None] * 4
     assert P.grouped(P.attributes(odd)).count() == 0
     assert P.attributes(odd.limit(0)).count() == 0
+
+
+def test_rare_makers_and_kinds_in_a_long_table(spark):
+    # 8,000 listings of one maker; another maker and kind have four, less than 0.05 %
+    rows = [(f"stir bar; 20 cm; pack of {i % 90 + 1}; stainless; curved; velquor model k", "bars") for i in range(8000)]
+    rare = ["flux vial; 5 ml; pack of 4; pp; sterile; mfr nastrix c", "by nastrix series c | sterile | pp | 4 ct | 5 ml | flux vial", "flux vial; 5 cc; qty 4; pp; sterile; nastrix mdl.c", "nastrix model c - flux vial - 5000 ul - 4/pk - pp - sterilized"]
+    plain = ["flux vial 5 ml nastrix c polypropylene 4 pcs sterile"]
+    misspelt = [("stir bra; 20 cm; pack of 3; stainless; curved; velqour model k", "bars")] * 4
+    rows = [(i, t, c) for i, (t, c) in enumerate(rows + misspelt + [(t, "vials") for t in rare + plain])]
+    df = spark.createDataFrame(rows, "listing_id long, cleaned_description string, category string")
+    found = P.mine(df)
+    assert found["makers"] == ["nastrix", "velquor"] and set(found["kinds"]) == {"flux vial", "stir bar"}
+    got = P.grouped(P.attributes(df.filter("listing_id >= 8000"))).select("listing_id", "product").collect()
+    assert len(got) == 9
+    read = P.attributes(df).filter("listing_id >= 8004").select(*P.ATTRIBUTES).distinct().collect()
+    assert [(r.kind, r.maker, r.model, r.size, r["pack"]) for r in read] == [("flux vial", "nastrix", "c", "v5000", "4")]
+
+
+def test_unread_attributes_and_makers():
+    assert READER.read("stir bar; 20 cm; pack of 24; stainless; mfr nosuch c")["maker"] == "nosuch"
+    assert P.right_words({"support": 500, "suport": 4, "nastrix": 4, "for": 900, "ofr": 30}) == {"support", "nastrix", "for"}
+
+
+def test_listings_group_by_what_they_state(spark):
+    cols = ["listing_id", *P.ATTRIBUTES]
+    rows = [(i, None, "d200", "50", "stainless", "left", "ombrelin", "g") for i in (1, 2)] + [(3, None, "d200", "50", "stainless", "right", "ombrelin", "g"), (4, *[None] * 7)]
+    got = P.grouped(spark.createDataFrame(rows, "listing_id long, " + ", ".join(f"{c} string" for c in cols[1:]))).collect()
+    by = {r.listing_id: bytes(r["product"]) for r in got}
+    assert set(by) == {1, 2, 3} and by[1] == by[2] != by[3]
