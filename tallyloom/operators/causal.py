@@ -116,7 +116,7 @@ def simplex_weights(y: np.ndarray, x: np.ndarray, *, rounds: int = 4000) -> np.n
 def synthetic_controls(stack: DataFrame, *, event: int, group: str = "experiment", unit: str = "unit", time: str = "time", value: str = "value", treated: str = "treated") -> DataFrame:
     """(group, unit, weight, rmspe): per group, donor weights that track the treated unit before the event.
 
-    stack: each group's treated unit and its donors (a matched set, small). Donors with a gap before the event are left out.
+    stack: each group's treated unit and its donors (all controls: a matrix of markets and years). Donors with a gap before the event are left out.
     """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -187,9 +187,11 @@ def mahalanobis_match(spark, d):
 
 @query(None)
 def synthetic_control(spark, d):
-    """Donor weights of the ten nearest controls of each treated market."""
-    pairs = causal.nearest_controls(_units(spark, d), "market", "treated", ["x1", "x2"], ratio=10)
-    sets = pairs.select(F.col("treated").alias("experiment"), F.col("control").alias("unit"), F.lit(0).alias("treated")).unionByName(pairs.select(F.col("treated").alias("experiment"), F.col("treated").alias("unit"), F.lit(1).alias("treated")).distinct())
+    """Donor weights of each treated market over all control markets."""
+    kinds = R.cats(spark, d).select(F.col("category").alias("market"), "treated")
+    mine = kinds.filter("treated = 1").select(F.col("market").alias("experiment"))
+    donors = mine.crossJoin(F.broadcast(kinds.filter("treated = 0").select(F.col("market").alias("unit"), "treated")))
+    sets = donors.unionByName(mine.select("experiment", F.col("experiment").alias("unit"), F.lit(1).alias("treated")))
     my = market_years(spark, d).select(F.col("market").alias("unit"), F.col("yr").alias("time"), F.col("lp").alias("value"))
     return causal.synthetic_controls(sets.join(my, "unit"), event=EVENT)
 
