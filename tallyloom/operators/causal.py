@@ -94,6 +94,21 @@ def optimal_pairs(cost: np.ndarray) -> list[int]:
     return out
 
 
+def match_all(distances: pd.DataFrame) -> list[tuple]:
+    """(treated, control, distance): as many pairs as possible at least total distance, each unit once.
+
+    distances: treated, control, distance of every pair. Where controls run short, who stays alone is part of the optimum: a
+    treated unit may take a column of no control, at more than all distances together.
+    """
+    if distances.empty:
+        return []
+    wide = distances.pivot(index="treated", columns="control", values="distance")
+    real = wide.to_numpy(float)
+    alone = (real.max() + 1) * (len(wide) + 1)
+    pick = optimal_pairs(np.hstack([real, np.full((len(wide), len(wide)), alone)]))
+    return [(t, wide.columns[j], float(real[i, j])) for i, (t, j) in enumerate(zip(wide.index, pick, strict=True)) if j < real.shape[1]]
+
+
 def simplex_weights(y: np.ndarray, x: np.ndarray, *, rounds: int = 4000) -> np.ndarray:
     """Weights w >= 0 that sum to 1 and bring x w closest to y: accelerated projected gradient."""
     k = x.shape[1]

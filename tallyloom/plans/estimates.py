@@ -345,16 +345,9 @@ def shock_balance(spark, d):
 
 @query(None)
 def optimal_match(spark, d):
-    """Each treated market with a control of its own at least total distance, among its thirty nearest ones."""
-    import numpy as np
-
-    near = causal.nearest_controls(_units(spark, d), "market", "treated", ["x1", "x2"], ratio=30).orderBy("treated", "rank").toPandas()  # thirty rows per treated market
-    t, c = sorted(near["treated"].unique()), sorted(near["control"].unique())
-    cost = np.full((len(t), len(c) + len(t)), 1e6)
-    for r in near.itertuples():
-        cost[t.index(r.treated), c.index(r.control)] = r.distance
-    pick = causal.optimal_pairs(cost) if t else []
-    return spark.createDataFrame([(a, c[j], float(cost[i, j])) for i, (a, j) in enumerate(zip(t, pick, strict=True)) if j < len(c)], "treated string, control string, distance double")
+    """Each treated market with a control of its own, as many as there are, at least total distance over all controls."""
+    near = causal.nearest_controls(_units(spark, d), "market", "treated", ["x1", "x2"], ratio=causal.MAX_CONTROLS).orderBy("treated", "rank").toPandas()  # treated x control markets
+    return spark.createDataFrame(causal.match_all(near), "treated string, control string, distance double")
 
 
 @query(None)

@@ -21,3 +21,26 @@ def test_synthetic_control_gets_all_controls(spark):
         assert set(g.unit) == set(wide[controls].reindex(mine.index).dropna(axis=1).columns)
         assert g.weight.sum() == pytest.approx(1) and (g.weight >= 0).all()
     assert len(got) and got.groupby("experiment").size().max() > 10
+
+
+def test_optimal_match_sees_every_control(spark, monkeypatch):
+    from itertools import permutations
+
+    import pandas as pd
+
+    # 40 treated markets beside 31 controls and one far away: all 32 controls are used, at real distances
+    rows = [(f"t{i:02d}", 1, i * 0.001, 0.1 * (i % 3)) for i in range(40)] + [(f"c{i:02d}", 0, i * 0.01, 0.1) for i in range(31)] + [("far", 0, 50.0, 9.0)]
+    monkeypatch.setattr(E, "_units", lambda s, d: s.createDataFrame(rows, "market string, treated int, x1 double, x2 double"))
+    got = E.optimal_match(spark, SF).collect()
+    assert {r.control for r in got} == {r[0] for r in rows if not r[1]} and len({r.treated for r in got}) == 32
+    assert max(r.distance for r in got) < 1e3
+    # against all assignments, controls short and controls plenty
+    rng = np.random.default_rng(5)
+    for n, m in ((5, 3), (3, 5)):
+        c = rng.random((n, m))
+        pairs = causal.match_all(pd.DataFrame([(f"t{i}", f"c{j}", c[i, j]) for i in range(n) for j in range(m)], columns=["treated", "control", "distance"]))
+        if n > m:
+            best = min(sum(c[i, j] for j, i in enumerate(p)) for p in permutations(range(n), m))
+        else:
+            best = min(sum(c[i, j] for i, j in enumerate(p)) for p in permutations(range(m), n))
+        assert len(pairs) == min(n, m) and sum(x[2] for x in pairs) == pytest.approx(best)
