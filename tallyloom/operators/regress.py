@@ -223,3 +223,17 @@ def ridge_gcv(x: np.ndarray, y: np.ndarray, alphas: np.ndarray | None = None) ->
         if best is None or gcv < best[0]:
             best = (gcv, a)
     return x.T @ (vec @ (uy / (value + best[1]))), float(best[1])
+
+
+def ridge_gcv_moments(xx: np.ndarray, xy: np.ndarray, yy: float, n: int, alphas: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """What ridge_gcv gives, for few columns and any number of rows: from the centred moments X'X, X'y and y'y of n rows."""
+    alphas = np.logspace(-3, 4, 30) if alphas is None else alphas
+    value, vec = np.linalg.eigh(xx)
+    value, uy, best = np.maximum(value, 0), vec.T @ xy, None
+    for a in alphas:
+        # residuals: y'y - 2 b'X'y + b'X'X b in the basis of the eigenvectors
+        err = (yy - np.sum(uy**2 * (value + 2 * a) / (value + a) ** 2)) / n
+        gcv = err / max((1 - np.sum(value / (value + a)) / n) ** 2, 1e-12)
+        if best is None or gcv < best[0]:
+            best = (gcv, a)
+    return vec @ (uy / (value + best[1])), float(best[1])

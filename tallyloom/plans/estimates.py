@@ -352,13 +352,15 @@ def optimal_match(spark, d):
 
 @query(None)
 def ridge_by_neighbours(spark, d):
-    """Ridge of the exposure on both predictions and the similarity, on a bounded labelled sample of 2,000 rows by hash."""
+    """Ridge of the exposure on both predictions and the similarity, over all labelled rows by their moments."""
     import numpy as np
 
-    rows = R.table(spark, d, "ridge_vs_knn").filter("true_exposure between 0 and 1 and not isnan(true_exposure)").select("row_id", "true_exposure", "pred_knn", "pred_ridge", "max_sim_to_train").dropna().orderBy(F.xxhash64("row_id"), "row_id").limit(2000).toPandas()
-    x, y = rows[["pred_knn", "pred_ridge", "max_sim_to_train"]].to_numpy(float), rows["true_exposure"].to_numpy(float)
-    b, alpha = regress.ridge_gcv(x - x.mean(0), y - y.mean()) if len(rows) else (np.zeros(3), 0.0)
-    return spark.createDataFrame([(n, float(v), alpha) for n, v in zip(("pred_knn", "pred_ridge", "max_sim_to_train"), b, strict=True)], "term string, b double, alpha double")
+    xs = ["pred_knn", "pred_ridge", "max_sim_to_train"]
+    rows = R.table(spark, d, "ridge_vs_knn").filter("true_exposure between 0 and 1 and not isnan(true_exposure)").select("true_exposure", *xs).dropna()
+    n = rows.count()
+    cov = causal.covariance(rows, [*xs, "true_exposure"]) * max(n - 1, 0)
+    b, alpha = regress.ridge_gcv_moments(cov[:3, :3], cov[:3, 3], cov[3, 3], n) if n else (np.zeros(3), 0.0)
+    return spark.createDataFrame([(x, float(v), alpha) for x, v in zip(xs, b, strict=True)], "term string, b double, alpha double")
 
 
 @query("with w as (select suppliername, unnest(list_filter(regexp_split_to_array(lower(suppliername), '\\s+'), lambda x: x <> '')) w from supplier_map), p as (select suppliername, ' ' || w || ' ' p from w), g as (select suppliername, substr(p, i, n) term from (select *, unnest(generate_series(1, 60)) i from p) cross join (values (3), (4), (5)) t(n) where i + n - 1 <= length(p)) select suppliername, term, count(*) tf from g group by 1, 2", base=False)

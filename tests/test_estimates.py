@@ -44,3 +44,20 @@ def test_optimal_match_sees_every_control(spark, monkeypatch):
         else:
             best = min(sum(c[i, j] for i, j in enumerate(p)) for p in permutations(range(m), n))
         assert len(pairs) == min(n, m) and sum(x[2] for x in pairs) == pytest.approx(best)
+
+
+def test_ridge_uses_all_rows(spark):
+    from tallyloom.operators import regress
+
+    cols = ["pred_knn", "pred_ridge", "max_sim_to_train"]
+    rows = R.table(spark, SF, "ridge_vs_knn").filter("true_exposure between 0 and 1 and not isnan(true_exposure)").select("true_exposure", *cols).dropna().toPandas()
+    x, y = rows[cols].to_numpy(float), rows["true_exposure"].to_numpy(float)
+    x, y = x - x.mean(0), y - y.mean()
+    got = E.ridge_by_neighbours(spark, SF).toPandas().set_index("term").loc[cols]
+    alpha = got["alpha"].iloc[0]
+    assert np.allclose(got["b"], np.linalg.solve(x.T @ x + alpha * np.eye(3), x.T @ y), atol=1e-9)
+    # the primal form picks what the dual form picks
+    few, fy = x[:300] - x[:300].mean(0), y[:300] - y[:300].mean()
+    b, a = regress.ridge_gcv(few, fy)
+    b2, a2 = regress.ridge_gcv_moments(few.T @ few, few.T @ fy, fy @ fy, 300)
+    assert a2 == a and np.allclose(b, b2, atol=1e-8)
