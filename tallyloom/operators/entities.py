@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tallyloom.functions.text import fold
 from tallyloom.operators.graph import greedy_stars
+from tallyloom.operators.skew import salted_join
 from tallyloom.runtime import materialize
 
 # Words that say nothing about which firm or institution is meant.
@@ -107,23 +108,22 @@ def token_set_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def crosswalk(left: DataFrame, right: DataFrame, lname: str, rname: str, *, threshold: float = 88.0, rare: int = 2, top: int = 40) -> DataFrame:
+def crosswalk(left: DataFrame, right: DataFrame, lname: str, rname: str, *, threshold: float = 88.0, top: int = 40) -> DataFrame:
     """(lname, rname, score, rank): for each left name the right names that score at least the threshold, best first.
 
-    Candidates share one of the left name's `rare` rarest words (by how many right names have it), so the common words of a
-    name never build a large bucket. rank goes by exact form, score, then name; top is the number wanted of each.
+    Every pair of normal forms that share a word is scored once, at its first shared word; words that many forms have are
+    joined in parts. rank goes by exact form, score, then name; top is the number wanted of each.
     """
-    l_ = left.select(lname).distinct().dropna().withColumn("__l", normal_name_udf(lname)).filter("__l <> ''")
-    r = right.select(rname).distinct().dropna().withColumn("__r", normal_name_udf(rname)).filter("__r <> ''")
-    post = materialize(r.select(rname, "__r", F.explode(F.array_distinct(F.split("__r", " "))).alias("t")), "postings")
-    df = post.groupBy("t").agg(F.count("*").alias("df"))
-    words = l_.select(lname, "__l", F.explode(F.array_distinct(F.split("__l", " "))).alias("t")).join(df, "t")
-    w = Window.partitionBy(lname).orderBy("df", "t")
-    words = words.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= rare)
-    pairs = words.select(lname, "__l", "t").join(post, "t").select(lname, "__l", rname, "__r").distinct()
-    scored = pairs.withColumn("score", token_set_udf("__l", "__r")).filter(F.col("score") >= threshold)
+    l_ = materialize(left.select(lname).distinct().dropna().withColumn("__l", normal_name_udf(lname)).filter("__l <> ''"), "left")
+    r = materialize(right.select(rname).distinct().dropna().withColumn("__r", normal_name_udf(rname)).filter("__r <> ''"), "right")
+    words = lambda df, c: df.select(c).distinct().withColumn(f"{c}w", F.array_distinct(F.split(c, " "))).withColumn("t", F.explode(f"{c}w"))
+    mine = materialize(words(l_, "__l"), "words")
+    post = words(r, "__r").join(mine.groupBy("t").agg(F.count("*").alias("__n")), "t")
+    pairs = salted_join(mine, post, ["t"], size="__n", spread_by=["__l"]).filter(F.col("t") == F.array_min(F.array_intersect("__lw", "__rw")))
+    scored = materialize(pairs.select("__l", "__r").withColumn("score", token_set_udf("__l", "__r")).filter(F.col("score") >= threshold), "scored")
+    named = l_.join(scored, "__l").join(r, "__r")
     order = Window.partitionBy(lname).orderBy(F.desc(F.col("__l") == F.col("__r")), F.desc("score"), rname)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(lname, rname, "score", "rank")
+    return named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select(lname, rname, "score", "rank")
 
 
 def person_score(a_sur: str, a_given: str, b_sur: str, b_given: str) -> float:

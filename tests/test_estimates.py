@@ -61,3 +61,11 @@ def test_ridge_uses_all_rows(spark):
     b, a = regress.ridge_gcv(few, fy)
     b2, a2 = regress.ridge_gcv_moments(few.T @ few, few.T @ fy, fy @ fy, 300)
     assert a2 == a and np.allclose(b, b2, atol=1e-8)
+
+
+def test_crosswalk_scores_every_shared_word(spark):
+    from tallyloom.operators import entities
+
+    right = ["gamma"] + [f"gamma delta{i}" for i in range(5)] + ["alpha x", "beta y"]
+    got = entities.crosswalk(spark.createDataFrame([("alpha beta gamma",), ("zeta",)], "l string"), spark.createDataFrame([(r,) for r in right], "r string"), "l", "r").collect()
+    assert [(r.l, r.r, r.score, r["rank"]) for r in got] == [("alpha beta gamma", "gamma", 100.0, 1)]
