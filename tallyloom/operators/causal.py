@@ -30,6 +30,16 @@ def covariance(df: DataFrame, columns: list[str]) -> np.ndarray:
     return c
 
 
+def _nearest(t, x: np.ndarray, names: list, c: np.ndarray, inv: np.ndarray, ratio: int) -> list[tuple]:
+    """(t, control, distance, rank) of the controls c nearest to x; see nearest_controls."""
+    ok = np.isfinite(x)
+    if not ok.any() or not names:
+        return []
+    d = c[:, ok] - x[ok]
+    dist = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", d, inv[np.ix_(ok, ok)], d), 0) * len(x) / ok.sum())
+    return [(t, names[j], float(dist[j]), r + 1) for r, j in enumerate(np.argsort(np.round(dist, 12), kind="stable")[:ratio])]
+
+
 def nearest_controls(units: DataFrame, key: str, treated: str, columns: list[str], *, ratio: int = 2) -> DataFrame:
     """(treated, control, distance, rank): the `ratio` nearest controls by Mahalanobis distance, with replacement.
 
@@ -48,13 +58,7 @@ def nearest_controls(units: DataFrame, key: str, treated: str, columns: list[str
         for f in frames:
             out = []
             for t, x in zip(f[key], f[columns].to_numpy(float), strict=True):
-                ok = np.isfinite(x)
-                if not ok.any() or not names:
-                    continue
-                d = c[:, ok] - x[ok]
-                dist = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", d, inv[np.ix_(ok, ok)], d), 0) * len(columns) / ok.sum())
-                for r, j in enumerate(np.argsort(np.round(dist, 12), kind="stable")[:ratio]):
-                    out.append((t, names[j], float(dist[j]), r + 1))
+                out += _nearest(t, x, names, c, inv, ratio)
             if out:
                 yield pd.DataFrame(out, columns=["treated", "control", "distance", "rank"])
 
@@ -62,6 +66,39 @@ def nearest_controls(units: DataFrame, key: str, treated: str, columns: list[str
     return units.filter(F.col(treated) == 1).select(key, *columns).mapInPandas(run, f"treated {kind}, control {kind}, distance double, rank int")
 
 
+def placebo_matches(units: DataFrame, draws: DataFrame, key: str, columns: list[str], *, ratio: int = 2) -> DataFrame:
+    """(draw, treated, control, distance, rank): nearest_controls of each draw, whose units are the treated and all others the controls.
+
+    The covariance is that of all units, which every draw shares. units go to every task, one row per market of checked number;
+    a draw that leaves no control has no rows.
+    """
+    inv = np.linalg.pinv(covariance(units, columns))
+    rows = units.select(key, *columns).orderBy(key).limit(MAX_CONTROLS + 1).toPandas()
+    if len(rows) > MAX_CONTROLS:
+        raise ValueError("too many units")
+    shared = units.sparkSession.sparkContext.broadcast((rows[key].to_numpy(), rows[columns].to_numpy(float), inv))
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, x, inv = shared.value
+        drawn = np.isin(names, pdf[key].to_numpy())
+        ok = ~drawn & np.isfinite(x).all(axis=1)
+        out = [(int(pdf["draw"].iloc[0]), *row) for t, v in zip(names[drawn], x[drawn], strict=True) for row in _nearest(t, v, names[ok].tolist(), x[ok], inv, ratio)]
+        return pd.DataFrame(out, columns=["draw", "treated", "control", "distance", "rank"])
+
+    kind = units.schema[key].dataType.simpleString()
+    return draws.groupBy("draw").applyInPandas(match, f"draw int, treated {kind}, control {kind}, distance double, rank int")
+
+
+def matched_effects(pairs: DataFrame, changes: DataFrame, key: str, change: str) -> DataFrame:
+    """(draw, n, b): the mean over the treated units of a draw of their change less the mean change of their controls.
+
+    Units without a change don't count; n is the number of treated units that have one and a control with one.
+    """
+    of = lambda side: changes.select(F.col(key).alias(side), F.col(change).alias(f"__{side}"))
+    each = pairs.join(of("treated"), "treated").join(of("control"), "control").groupBy("draw", "treated").agg((F.first("__treated") - F.avg("__control")).alias("b"))
+    return each.groupBy("draw").agg(F.count("*").alias("n"), F.avg("b").alias("b"))
+
+
 def optimal_pairs(cost: np.ndarray) -> list[int]:
     """The column assigned to each row at least total cost (rows <= columns); Hungarian algorithm with potentials."""
     n, m = cost.shape

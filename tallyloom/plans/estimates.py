@@ -198,10 +198,10 @@ def synthetic_control(spark, d):
 
 @query(None)
 def placebo_inference(spark, d):
-    """The change at the event of 100 random sets of 30 control markets."""
-    controls = R.cats(spark, d).filter("treated = 0").select(F.col("category").alias("market"))
-    draws = causal.placebo_draws(controls, "market", 100, 30)
-    return draws.join(_coefs(spark, d), "market").groupBy("draw").agg(F.count("*").alias("n"), F.avg("b").alias("b"))
+    """The effect at the event of 100 random sets of 46 markets taken as treated, each matched again to the other markets."""
+    units = _units(spark, d).select("market", "x1", "x2")
+    pairs = causal.placebo_matches(units, causal.placebo_draws(units, "market", 100, 46), "market", ["x1", "x2"])
+    return causal.matched_effects(pairs, _coefs(spark, d), "market", "b")
 
 
 @query(_DID + " select cl.uni, round(sum(spend * exp(-b)), 2) counterfactual, round(sum(spend * exp(-b)) - sum(spend), 2) loss from cl join co using (market) where yr >= 2014 and uni is not null group by 1")

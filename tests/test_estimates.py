@@ -69,3 +69,24 @@ def test_crosswalk_scores_every_shared_word(spark):
     right = ["gamma"] + [f"gamma delta{i}" for i in range(5)] + ["alpha x", "beta y"]
     got = entities.crosswalk(spark.createDataFrame([("alpha beta gamma",), ("zeta",)], "l string"), spark.createDataFrame([(r,) for r in right], "r string"), "l", "r").collect()
     assert [(r.l, r.r, r.score, r["rank"]) for r in got] == [("alpha beta gamma", "gamma", 100.0, 1)]
+
+
+def test_placebo_rematches_each_draw(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"m{i:02d}", float(rng.normal()), float(rng.normal())) for i in range(70)]
+    effect = {k: x + 0.01 * i for i, (k, x, _) in enumerate(rows)}
+    units = spark.createDataFrame(rows, "market string, x1 double, x2 double")
+    pairs = causal.placebo_matches(units, causal.placebo_draws(units, "market", 5, 46), "market", ["x1", "x2"]).toPandas()
+    assert set(pairs["draw"]) == {1, 2, 3, 4, 5}
+    at, inv = {k: np.array(v) for k, *v in rows}, np.linalg.inv(np.cov(np.array([r[1:] for r in rows]).T))
+    for _, g in pairs.groupby("draw"):
+        drawn = set(g["treated"])
+        assert len(drawn) == 46 and not drawn & set(g["control"])
+        for t, m in g.groupby("treated"):
+            dist = sorted((float(np.sqrt((at[t] - at[c]) @ inv @ (at[t] - at[c]))), c) for c in at if c not in drawn)
+            assert list(m.sort_values("rank")["control"]) == [c for _, c in dist[:2]]
+    b = spark.createDataFrame(list(effect.items()), "market string, b double")
+    got = causal.matched_effects(spark.createDataFrame(pairs), b, "market", "b").toPandas().set_index("draw")
+    for k, g in pairs.groupby("draw"):
+        want = np.mean([effect[t] - np.mean([effect[c] for c in m["control"]]) for t, m in g.groupby("treated")])
+        assert got.loc[k, "b"] == pytest.approx(want) and got.loc[k, "n"] == 46
