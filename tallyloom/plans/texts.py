@@ -141,7 +141,7 @@ def institution_crosswalk(spark, d):
 def gatekeeper_scores(spark, d):
     """Logistic regression on item texts; every labelled row is scored."""
     df = R.table(spark, d, "training_dataset").select("record_id", "cleaned_description", F.col("label").cast("double").alias("label"))
-    return models.score(models.gatekeeper(df, "cleaned_description", "label", ngrams=1), df.filter("label is not null"), ["record_id", "label"])
+    return models.score(models.gatekeeper(df, "cleaned_description", "label", ngrams=3, min_df=5), df.filter("label is not null"), ["record_id", "label"])
 
 
 @query(None)
@@ -166,13 +166,13 @@ def _exposure_rows(spark, d) -> DataFrame:
 
 @query(None)
 def elastic_net_coefficients(spark, d):
-    _, coef = models.elastic_net(_exposure_rows(spark, d), ["pred_knn", "pred_ridge", "sim"], "true_exposure", weight="n_train", folds=3)
+    _, coef = models.elastic_net(_exposure_rows(spark, d), ["pred_knn", "pred_ridge", "sim"], "true_exposure", weight="n_train")
     return spark.createDataFrame([(k, v) for k, v in coef.items()], "term string, b double")
 
 
 @query(None)
 def forest_importance(spark, d):
-    _, imp = models.forest(_exposure_rows(spark, d), ["pred_knn", "pred_ridge", "sim"], "true_exposure", folds=3, trees=20)
+    _, imp = models.forest(_exposure_rows(spark, d), ["pred_knn", "pred_ridge", "sim"], "true_exposure")
     return spark.createDataFrame([(k, v) for k, v in imp.items()], "feature string, importance double")
 
 

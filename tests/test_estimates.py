@@ -90,3 +90,33 @@ def test_placebo_rematches_each_draw(spark):
     for k, g in pairs.groupby("draw"):
         want = np.mean([effect[t] - np.mean([effect[c] for c in m["control"]]) for t, m in g.groupby("treated")])
         assert got.loc[k, "b"] == pytest.approx(want) and got.loc[k, "n"] == 46
+
+
+def test_models_run_with_the_surveyed_settings(spark, monkeypatch):
+    import inspect
+
+    from tallyloom.operators import models
+    from tallyloom.plans import texts
+
+    class Seen(Exception):
+        pass
+
+    def seen(name):
+        sig = inspect.signature(getattr(models, name))
+
+        def f(*a, **k):
+            x = sig.bind(*a, **k)
+            x.apply_defaults()
+            raise Seen(x.arguments)
+
+        return f
+
+    got = {}
+    for query, name in (("gatekeeper_scores", "gatekeeper"), ("forest_importance", "forest"), ("elastic_net_coefficients", "elastic_net")):
+        monkeypatch.setattr(models, name, seen(name))
+        with pytest.raises(Seen) as e:
+            texts.QUERIES[query](spark, SF)
+        got[query] = e.value.args[0]
+    assert got["gatekeeper_scores"]["features"] == {"ngrams": 3, "min_df": 5} and got["gatekeeper_scores"]["c"] == 10
+    assert got["forest_importance"]["folds"] == 5 and got["forest_importance"]["trees"] == 40
+    assert got["elastic_net_coefficients"]["folds"] == 5
