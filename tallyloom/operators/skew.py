@@ -10,15 +10,18 @@ from tallyloom.runtime import materialize
 
 #: A key is hot above HOT rows and above the share 1 / MOST_HOT of all rows, so there are at most MOST_HOT hot keys.
 HOT, MOST_HOT = 50_000, 10_000
+#: Rows without a key are spread over so many values.
+NO_KEY_PARTS = 10_000
 
 
-def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], *, size: str, spread_by: list[str], hot: int = HOT, sizes: DataFrame | None = None) -> DataFrame:
+def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], *, size: str, spread_by: list[str], hot: int = HOT, sizes: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """Joins rows to the row (or rows) of their key in groups, whose column `size` holds the number of rows of that key.
 
     A key above the bound is cut into parts of about the bound: its groups are written once a part and its rows spread over
     the parts. The rows learn of hot keys from a broadcast of at most MOST_HOT hashes, at any size of the input. groups is
     written to the shared folder first, as it is read three times; where that would be costly, sizes is a cheap table with the
-    same keys and sizes, and groups is read once. Keys that are null match nothing.
+    same keys and sizes, and groups is read once. how: 'inner' or 'left'. Keys that are null match nothing; a left join
+    keeps their rows, spread over the tasks.
     """
     if sizes is None:
         groups = sizes = materialize(groups, "groups")
@@ -30,9 +33,15 @@ def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], *, size: st
     hot_set = F.broadcast(hot_set)
     # both sides ask the same set, so two keys of one hash can't part ways
     tag = lambda df: df.withColumn("__k", digest()).join(hot_set, F.col("__k") == F.col("__hot"), "left").withColumn("__parts", F.coalesce("__parts", F.lit(1))).drop("__k", "__hot")
-    left = tag(rows).withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.col("__parts")).cast("int")).drop("__parts")
+    salt = F.pmod(F.xxhash64(*spread_by), F.col("__parts")).cast("int")
+    if how == "left":
+        no_key = F.lit(False)
+        for k in keys:
+            no_key |= F.col(k).isNull()
+        salt = F.when(no_key, -1 - F.pmod(F.xxhash64(*spread_by), F.lit(NO_KEY_PARTS)).cast("int")).otherwise(salt)
+    left = tag(rows).withColumn("__salt", salt).drop("__parts")
     right = tag(groups).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
-    return left.join(right, [*keys, "__salt"]).drop("__salt")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def pairs_within(rows: DataFrame, key: list[str], id_: str, *, block: int = 4096) -> DataFrame:
