@@ -24,5 +24,10 @@ def p5_products(spark: SparkSession, d: str) -> DataFrame:
     return products.grouped(_read(spark, d)).groupBy("product", *products.ATTRIBUTES).agg(F.count("*").alias("n_listings"), F.min("listing_id").alias("first_listing_id")).drop("product")
 
 
-QUERIES = {"p5_found": p5_found, "p5_products": p5_products}
+def p5_unread(spark: SparkSession, d: str) -> DataFrame:
+    """The listings in which no kind or no maker was found."""
+    return products.unread(_read(spark, d))
+
+
+QUERIES = {"p5_found": p5_found, "p5_products": p5_products, "p5_unread": p5_unread}
 SQL: dict[str, str] = {}
