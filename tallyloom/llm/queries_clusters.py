@@ -23,5 +23,12 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return clusters.describe(_clusters(spark, d))
 
 
-QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """(athr_id, cluster, degree): the group of each author that has one with others, by its first id, and the author's links."""
+    rows = _clusters(spark, d)
+    real = rows.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").select("cluster")
+    return rows.join(real, "cluster", "left_semi").select(F.col("id").alias("athr_id"), "cluster", "degree")
+
+
+QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups, "p4_members": p4_members}
 SQL: dict[str, str] = {}
