@@ -1,4 +1,4 @@
-"""Connected components and cluster splitting over edge tables, without the driver."""
+"""Connected components and greedy stars over edge tables, without the driver."""
 
 from __future__ import annotations
 
@@ -37,40 +37,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, max_ro
     return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
 
 
-def split_loose(members: DataFrame, edges: DataFrame, *, least_density: float = 0.5, max_rounds: int = 40) -> DataFrame:
-    """(node, cluster): components of at least that density stay whole; looser ones are split around medoids.
-
-    members: (node, component); edges: (a, b), each once, the pairs that hold. The density is the share of a component's
-    possible pairs that are edges. In a loose component every node that has a higher degree than all its open neighbours
-    (ties: smaller id) becomes a medoid, each other open node joins its neighbouring medoid of highest degree, and what
-    is left goes another round; all medoids of a round are found at once, so rounds grow with the logarithm of the size.
-    """
-    size = members.groupBy("component").agg(F.count("*").alias("n"))
-    per = edges.join(members.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.count("*").alias("m"))
-    dense = size.join(per, "component", "left").withColumn("dense", F.coalesce("m", F.lit(0)) >= F.lit(least_density) * F.col("n") * (F.col("n") - 1) / 2)
-    tagged = materialize(members.join(dense.select("component", "dense"), "component"), "dense")
-    done = tagged.filter("dense").select("node", F.col("component").alias("cluster"))
-    open_ = tagged.filter("not dense").select("node")
-    if open_.isEmpty():
-        return done
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy("a").agg(F.count("*").alias("d"))
-    live = materialize(open_.join(degree.withColumnRenamed("a", "node"), "node", "left").na.fill(0, ["d"]), "open")
-    for _ in range(max_rounds):
-        links = both.join(live.select(F.col("node").alias("a")), "a").join(live.select(F.col("node").alias("b"), F.col("d").alias("db")), "b")
-        best = links.groupBy("a").agg(F.max(F.col("db")).alias("hi"), F.min_by("b", F.struct(-F.col("db"), F.col("b"))).alias("top"))
-        state = materialize(live.join(best.withColumnRenamed("a", "node"), "node", "left").withColumn("medoid", F.col("hi").isNull() | (F.col("d") > F.col("hi")) | ((F.col("d") == F.col("hi")) & (F.col("node") < F.col("top")))), "medoids")
-        heads = state.filter("medoid")
-        near = links.join(heads.select(F.col("node").alias("b")), "b").groupBy("a").agg(F.min_by("b", F.struct(-F.col("db"), F.col("b"))).alias("cluster"))
-        took = heads.select("node", F.col("node").alias("cluster")).unionByName(near.withColumnRenamed("a", "node").join(heads.select("node"), "node", "left_anti").select("node", "cluster"))
-        took = materialize(took, "took")
-        done = done.unionByName(took)
-        live = materialize(live.join(took.select("node"), "node", "left_anti"), "open")
-        if live.isEmpty():
-            return done
-    return done.unionByName(live.select("node", F.col("node").alias("cluster")))
-
-
 def greedy_stars(nodes: DataFrame, edges: DataFrame, order: list[str], *, max_rounds: int = 60) -> DataFrame:
     """(node, parent): what going through the nodes in `order` gives, each free node taking all its free neighbours.
 
