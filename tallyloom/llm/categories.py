@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -21,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.spelling import Near, edits
+
 # Words and phrases for the same thing; each is also tried in place of the other in the names.
 SYNONYMS = [
     ("coverslips", "cover glasses"), ("waste disposal", "waste removal"), ("wipes", "tissues"), ("fibre", "fiber"), ("labelled", "labeled"), ("colorimetric", "colourimetric"),
@@ -50,24 +53,6 @@ def stem(w: str) -> str:
     return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
 
 
-def edits(a: str, b: str, most: int) -> int:
-    """Edit distance with transposition of neighbours, or most + 1 if larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            v = min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, older[j - 2] + 1)
-            row.append(v)
-        if min(row) > most:
-            return most + 1
-    return row[-1]
-
-
 def letters(w: str) -> int:
     m = 0
     for c in w:
@@ -78,7 +63,8 @@ def letters(w: str) -> int:
 class Matcher:
     """The list, compiled once in each worker."""
 
-    def __init__(self, names: list[tuple[int, str]]):
+    def __init__(self, names: list[tuple[int, str]], synonyms: tuple = tuple(SYNONYMS)):
+        self.synonyms = synonyms
         self.ids = [i for i, _ in names]
         self.auto = ahocorasick.Automaton()
         seen: dict[str, set[int]] = {}
@@ -115,17 +101,33 @@ class Matcher:
             for c, w in enumerate(f):
                 self.index[r, c] = at[w]
                 self.weight[r, c] = 1 + np.log(n / min(n, df[w]))
-        self.whole: dict[int, list[tuple[int, str]]] = {}
+        self.at = at
+        self.postings: list[list[int]] = [[] for _ in self.vocab]
+        for r, (_, f) in enumerate(forms):
+            for w in f:
+                self.postings[at[w]].append(r)
+        self.lengths = np.array([len(f) for _, f in forms], int)
+        self.by_bare = sorted((b, i) for i, b in enumerate(self.bare))
+        self.by_raw = sorted((w, i) for i, w in enumerate(self.raw))
+        # plurals are looked up under both forms, so both are indexed
+        self.near = Near({*self.vocab, *self.raw}, 3, prefix=7)
+        self.places: dict[str, set[int]] = {}
+        for i, v in enumerate(self.vocab):
+            self.places.setdefault(v, set()).add(i)
+            self.places.setdefault(self.raw[i], set()).add(i)
+        self.masks, self.sizes = np.array(self.mask, np.int64), np.array([len(v) for v in self.vocab], np.int64)
+        self.whole: dict[str, list[int]] = {}
         for r, (_, f) in enumerate(forms):
-            for s in {"".join(f), "".join(f[-1:] + f[:-1])}:
-                self.whole.setdefault(len(s), []).append((r, s))
+            for x in {"".join(f), "".join(f[-1:] + f[:-1])}:
+                self.whole.setdefault(x, []).append(r)
+        self.near_whole = Near((x for x in self.whole if len(x) <= 40), 3, prefix=7)
+        self.long_whole = [x for x in self.whole if len(x) > 40]
         self._near = lru_cache(maxsize=200_000)(self._near_uncached)
         self.match = lru_cache(maxsize=200_000)(self._match)
 
-    @staticmethod
-    def _aliases(name: str) -> set[str]:
+    def _aliases(self, name: str) -> set[str]:
         out = {name}
-        for a, b in SYNONYMS:
+        for a, b in self.synonyms:
             for x, y in ((a, b), (b, a)):
                 if re.search(rf"(?<![a-z]){x}(?![a-z])", name.lower()):
                     out.add(re.sub(rf"(?<![a-z]){x}(?![a-z])", y, name.lower()))
@@ -133,14 +135,33 @@ class Matcher:
             out.add(name.lower().replace("labelled", "labeled"))
         return out
 
-    def _near_uncached(self, w: str) -> np.ndarray:
-        """Likeness of a typed word to each word of the list."""
+    def _candidates(self, w: str, s: str) -> list[int]:
+        """The words of the list that can be like a typed word: equal, begun by it, without vowels, or a few edits away."""
+        found = {i for t in (s, w) if t in self.places for i in self.places[t]}
+        for t in {s, w} if len(w) >= 2 else ():
+            at = bisect_left(self.vocab, t)
+            while at < len(self.vocab) and self.vocab[at].startswith(t):
+                found.add(at)
+                at += 1
+        for t in {s, w, w[:-1] if w.endswith("s") else w}:
+            at = bisect_left(self.by_bare, (t, -1))
+            while at < len(self.by_bare) and self.by_bare[at][0].startswith(t):
+                found.add(self.by_bare[at][1])
+                at += 1
+        for t in {s, w}:
+            found.update(i for k in self.near.maybe(t) for i in self.places[self.near.words[k]])
+        if s != w and len(s) >= 3:  # a misspelt beginning
+            found.update(np.nonzero((self.sizes > len(s) + 1) & (np.bitwise_count(self.masks ^ letters(s)) <= 8))[0].tolist())
+        return sorted(found)
+
+    def _near_uncached(self, w: str) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the words of the list that a typed word is like, how like)."""
         s = stem(w)
-        out = np.zeros(len(self.vocab))
-        m, bare = letters(s), VOWELS.sub("", s)
-        for i, v in enumerate(self.vocab):
+        m, bare, got = letters(s), VOWELS.sub("", s), []
+        for i in self._candidates(w, s):
+            v = self.vocab[i]
             if v == s or v == w:
-                out[i] = 1.0
+                got.append((i, 1.0))
                 continue
             best = 0.0
             if len(s) < len(v):
@@ -157,8 +178,9 @@ class Matcher:
                     best = max(best, 1 - d / max(len(v), 3) * 0.9)
                 if len(s) >= 3 and len(v) > len(s) + 1 and s != w and edits(s, v[: len(s)], 1) <= 1 and best < 0.5:
                     best = max(best, 0.5)
-            out[i] = best
-        return out
+            if best > 0:
+                got.append((i, best))
+        return np.array([i for i, _ in got], int), np.array([x for _, x in got])
 
     def _match(self, value: str) -> tuple[int, str, float]:
         """(id or 0, 'mention', 'similar' or 'none', score)."""
@@ -166,20 +188,35 @@ class Matcher:
         hit = min((h for h in (self._mention(typed), self._mention([stem(w) for w in typed])) if h), default=None)
         if hit:
             return self.ids[hit[1]], "mention", 1.0
-        content = list(dict.fromkeys(w for w in typed if w in self.vocab or not any(c.isdigit() for c in w)))
+        content = list(dict.fromkeys(w for w in typed if w in self.at or not any(c.isdigit() for c in w)))
         telling = np.array([w not in NOISE for w in content], bool)
         if not telling.any() or not len(self.of):
             return 0, "none", 0.0
-        s = np.stack([self._near(w) for w in content])
-        per = np.where(self.weight > 0, s.max(axis=0)[self.index], 1.0)
-        score = (per * self.weight).sum(axis=1) / self.weight.sum(axis=1)
-        covered = np.stack([np.where(self.weight > 0, s[t][self.index], 0).max(axis=1) for t in range(len(content))])
-        score = score - EXTRA * (covered[telling] < LEAST_WORD).sum(axis=0)
-        score = np.where(per.min(axis=1) >= LEAST_WORD, score, 0)
-        best = int(np.argmax(score))
-        top, who = float(score[best]), int(self.of[best])
+        near = [self._near(w) for w in content]
+        like = {}
+        for at, x in near:
+            for i, v in zip(at.tolist(), x.tolist(), strict=True):
+                like[i] = max(like.get(i, 0.0), v)
+        # only names each word of which has a counterpart can be meant
+        forms, n = np.unique(np.array([r for i, v in like.items() if v >= LEAST_WORD for r in self.postings[i]], int), return_counts=True)
+        forms = forms[n == self.lengths[forms]]
+        top, who = 0.0, int(self.of[0])
+        if len(forms):
+            here, position = np.unique(self.index[forms], return_inverse=True)
+            index, weight = position.reshape(len(forms), -1), self.weight[forms]
+            s = np.zeros((len(content), len(here)))
+            for t, (at, x) in enumerate(near):
+                k = np.searchsorted(here, at)
+                ok = (k < len(here)) & (here[np.minimum(k, len(here) - 1)] == at)
+                s[t, k[ok]] = x[ok]
+            per = np.where(weight > 0, s.max(axis=0)[index], 1.0)
+            score = (per * weight).sum(axis=1) / weight.sum(axis=1)
+            covered = np.stack([np.where(weight > 0, s[t][index], 0).max(axis=1) for t in range(len(content))])
+            score = score - EXTRA * (covered[telling] < LEAST_WORD).sum(axis=0)
+            best = int(np.argmax(score))
+            top, who = max(float(score[best]), 0.0), int(self.of[forms[best]])
         if top < ACCEPT:
-            r, like = self._as_one("".join(stem(w) for w in content if w not in NOISE or w in self.vocab))
+            r, like = self._as_one("".join(stem(w) for w in content if w not in NOISE or w in self.at))
             if like > max(top, ACCEPT):
                 top, who = like, int(self.of[r])
         return (self.ids[who], "similar", top) if top >= ACCEPT else (0, "none", max(top, 0.0))
@@ -199,20 +236,20 @@ class Matcher:
         """Likeness with lost or misplaced spaces: the whole value against whole names."""
         best, row = 0.0, 0
         m = letters(text)
-        for size in range(len(text) - 3, len(text) + 4):
-            for r, s in self.whole.get(size, ()):
-                most = min(3, len(s) // 5)
-                if bin(m ^ letters(s)).count("1") > 2 * most:
-                    continue
-                d = edits(text, s, most)
-                if d <= most and 1 - d / len(s) > best:
-                    best, row = 1 - d / len(s), r
+        found = [self.near_whole.words[k] for k in self.near_whole.maybe(text)] + [x for x in self.long_whole if abs(len(x) - len(text)) <= 3]
+        for x in sorted(found, key=lambda x: (len(x), self.whole[x][0])):
+            most = min(3, len(x) // 5)
+            if abs(len(x) - len(text)) > 3 or bin(m ^ letters(x)).count("1") > 2 * most:
+                continue
+            d = edits(text, x, most)
+            if d <= most and 1 - d / len(x) > best:
+                best, row = 1 - d / len(x), self.whole[x][0]
         return row, best
 
 
 @lru_cache(maxsize=2)
-def matcher(names: tuple) -> Matcher:
-    return Matcher(list(names))
+def matcher(names: tuple, synonyms: tuple = tuple(SYNONYMS)) -> Matcher:
+    return Matcher(list(names), synonyms)
 
 
 def reference(categories: DataFrame, key: str = "category_id", name: str = "category") -> tuple:
@@ -223,18 +260,19 @@ def reference(categories: DataFrame, key: str = "category_id", name: str = "cate
     return tuple(sorted((r[0], r[1]) for r in rows))
 
 
-def map_values(rows: DataFrame, categories: DataFrame, key: str = "entry_id", value: str = "category") -> DataFrame:
+def map_values(rows: DataFrame, categories: DataFrame, key: str = "entry_id", value: str = "category", *, synonyms: Iterable[tuple[str, str]] = tuple(SYNONYMS)) -> DataFrame:
     """(<key>, <value>, category_id, how, score) of every row.
 
     how: 'exact' (the value is an entry), 'mention', 'similar', 'none' (id 0: the list has no such entry) or 'blank' (id
     null: null, or no letter or digit). Ties go to the smaller id. No shuffle: rows are mapped where they are read, equal values of
-    a batch once, and each worker keeps the last 200,000 different values. An empty list maps everything to 0.
+    a batch once, and each worker keeps the last 200,000 different values. An empty list maps everything to 0. synonyms: pairs
+    of words or phrases that name the same; aliases of an entry are its name with one put for the other.
     """
     names = reference(categories)
-    exact = {n: i for i, n in names}
+    exact, pairs = {n: i for i, n in names}, tuple(synonyms)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = matcher(names)
+        m = matcher(names, pairs)
         for f in frames:
             got = {}
             for v in f["__value"].unique():

@@ -37,15 +37,17 @@ class Near:
 
     Its size is that of the words times their deletions (about half the square of a word's letters for two edits), and a
     look-up costs the deletions of one word, whatever the number of words. Words above LONGEST letters are not indexed: they
-    are found by nothing but themselves.
+    are found by nothing but themselves. With `prefix`, only so many first letters are indexed: an alignment of k edits leaves at
+    most k letters of either prefix without a partner in the other, so nothing is missed, and the index is smaller.
     """
 
-    def __init__(self, words: Iterable[str], most: int):
+    def __init__(self, words: Iterable[str], most: int, prefix: int | None = None):
+        self.prefix = prefix
         self.most, self.words = most, sorted({w for w in words if len(w) <= LONGEST})
         self.longest = max(map(len, self.words), default=0)
         self.of: dict[int, list[int] | int] = {}
         for i, w in enumerate(self.words):
-            for d in deletions(w, most):
+            for d in deletions(w[:prefix], most):
                 h = hash(d)
                 at = self.of.get(h)
                 if at is None:
@@ -60,7 +62,7 @@ class Near:
         out: set[int] = set()
         if len(word) > self.longest + self.most:
             return out
-        for d in deletions(word, self.most if most is None else min(most, self.most)):
+        for d in deletions(word[: self.prefix], self.most if most is None else min(most, self.most)):
             at = self.of.get(hash(d))
             if at is not None:
                 out.update((at,) if isinstance(at, int) else at)

@@ -36,3 +36,22 @@ def test_only_entries_are_named(spark):
     got = p1_found(spark, d).collect()
     ids = {r.category_id for r in spark.read.parquet(f"{d}/categories.parquet").collect()} | {0}
     assert got and {r.category_id for r in got} <= ids
+
+
+def test_prefix_index_misses_nothing():
+    import random
+
+    from tallyloom.llm.spelling import Near, edits
+
+    random.seed(12)
+    words = ["".join(random.choice("abc") for _ in range(random.randint(1, 12))) for _ in range(300)]
+    near = Near(words, 3, prefix=7)
+    for w in words[:60]:
+        assert near.find(w) == sorted((edits(w, v, 3), v) for v in set(words) if edits(w, v, 3) <= 3)
+
+
+def test_synonyms_are_a_parameter(spark):
+    cats = spark.createDataFrame(NAMES, "category_id long, category string")
+    df = spark.createDataFrame([(1, "implements for the hand")], "entry_id long, category string")
+    assert C.map_values(df, cats).first().category_id == 0
+    assert C.map_values(df, cats, synonyms=[("hand tools", "implements for the hand")]).first().category_id == 3
