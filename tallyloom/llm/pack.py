@@ -6,8 +6,10 @@ that fit in all three, the one with the largest weighted dot product of its size
 sizes are one class, so a step looks at classes, not items.
 
 Each task packs its own rows in blocks, without a shuffle. Containers of a block that are not full to FULL are opened
-again: their items go into the next block, and what the last block of a task leaves goes, GATHER items together, into a
-second and last round. So only one task for every GATHER such items leaves containers with room.
+again: their items go into the next block, at most HELD blocks of rows of them; what exceeds that, and what the last block of a task
+leaves, goes, GATHER items together and mixed, into a second and last round, which closes its fullest containers where
+the first would send items on. So a task holds a bounded number of rows and its time is linear in them, even if the items of
+the table fill no container, and only one task for every GATHER such items leaves containers with room.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ CAPACITY = 2048
 SEGMENTS = 256
 BLOCK = 8192
 FULL = 0.995
+HELD = 1
 GATHER = 200_000
 
 
@@ -71,34 +74,40 @@ def _packer(capacity: int, segments: int, loss_capacity: int, block: int, final:
         waiting = 0
 
         def flush(rows: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+            """(rows with a container or -1 for the second round, rows to hold)."""
             nonlocal n
             tokens, loss = rows["n_tokens"].to_numpy(np.int64), rows["loss_tokens"].to_numpy(np.int64)
             number = np.full(len(rows), -1, np.int64)
             place = np.zeros(len(rows), np.int32)
-            for members in pack_block(tokens, loss, capacity=capacity, segments=segments, loss_capacity=loss_capacity):
-                used = max(tokens[members].sum() / capacity, len(members) / segments, loss[members].sum() / loss_capacity)
-                if last or used >= FULL:
+            most, left = 0 if last else HELD * block, len(rows)
+            full = lambda m: max(tokens[m].sum() / capacity, len(m) / segments, loss[m].sum() / loss_capacity)
+            packed = [(full(m), m) for m in pack_block(tokens, loss, capacity=capacity, segments=segments, loss_capacity=loss_capacity)]
+            for used, members in sorted(packed, key=lambda x: -x[0]):
+                if used >= FULL or (final and left > most):
                     number[members] = (int(final) << 62) + (part << 33) + n
                     place[members] = np.arange(len(members))
                     n += 1
-            return rows[number >= 0].assign(container_id=number[number >= 0], segment=place[number >= 0]), rows[number < 0]
+                    left -= len(members)
+            go = number >= 0
+            if left > most:  # the first of the others make room
+                go[np.flatnonzero(~go)[: left - most]] = True
+            return rows[go].assign(container_id=number[go], segment=np.where(number[go] < 0, -1, place[go]).astype(np.int32)), rows[~go]
 
         for f in frames:
             pending.append(f)
             waiting += len(f)
             if waiting >= block:
                 rows = pd.concat([*([held] if held is not None else []), *pending], ignore_index=True)
+                held = None
                 for at in range(0, len(rows), 2 * block):
-                    done, rest = flush(rows.iloc[at : at + 2 * block].reset_index(drop=True), False)
-                    held = rest if at == 0 else pd.concat([held, rest], ignore_index=True)
+                    mine = rows.iloc[at : at + 2 * block] if held is None else pd.concat([held, rows.iloc[at : at + 2 * block]])
+                    done, held = flush(mine.reset_index(drop=True), False)
                     if len(done):
                         yield done
                 pending, waiting = [], 0
         rows = pd.concat([*([held] if held is not None else []), *pending], ignore_index=True) if held is not None or pending else None
         if rows is not None and len(rows):
-            done, rest = flush(rows, final)
-            yield done
-            yield rest.assign(container_id=np.int64(-1), segment=np.int32(-1))
+            yield flush(rows, True)[0]
 
     return run
 
@@ -134,6 +143,6 @@ def pack(sized: DataFrame, *, capacity: int = CAPACITY, segments: int = SEGMENTS
     first = materialize(rows.mapInPandas(pack_with(False), schema), "packed")
     rest = first.filter("container_id < 0").drop("container_id", "segment")
     rest = rest.repartition(max(1, -(-rest.count() // GATHER)))
-    # in one order however the rows arrive
-    rest = rest.sortWithinPartitions("n_tokens", F.xxhash64(*[f.name for f in rest.schema.fields if f.dataType.typeName() not in ("map", "variant")]))
+    # in one order however the rows arrive, sizes mixed
+    rest = rest.sortWithinPartitions(F.xxhash64(*[f.name for f in rest.schema.fields if f.dataType.typeName() not in ("map", "variant")]), "n_tokens")
     return first.filter("container_id >= 0").unionByName(rest.mapInPandas(pack_with(True), schema))

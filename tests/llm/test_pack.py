@@ -72,3 +72,26 @@ def test_documents_fill(spark):
     got = p7_containers(spark, "/root/testdata/sf0.01").collect()
     by = check(got, 2048, 256, 2048)
     assert sum(r.n_tokens for r in got) > 0.95 * 2048 * len(by)
+
+
+@pytest.mark.parametrize("final", [False, True])
+def test_items_that_fill_nothing_are_not_held(monkeypatch, final):
+    import pandas as pd
+
+    monkeypatch.setattr(pack.TaskContext, "get", lambda: type("T", (), {"partitionId": lambda self: 3})())
+    sizes, real = [], pack.pack_block
+    monkeypatch.setattr(pack, "pack_block", lambda tokens, *a, **k: (sizes.append(len(tokens)), real(tokens, *a, **k))[1])
+    frames = (pd.DataFrame({"n_tokens": np.full(100, 1500), "loss_tokens": np.full(100, 9), "at": np.arange(100) + 100 * i}) for i in range(40))
+    out = pd.concat(list(pack._packer(2048, 256, 2048, 100, final)(frames)))
+    assert sorted(out["at"]) == list(range(4000)) and max(sizes) <= 300
+    assert out["container_id"].nunique() == (4000 if final else 1)
+
+
+def test_masked_documents(spark):
+    from tallyloom.llm.queries_tokens import p7_masked
+
+    d = "/root/testdata/sf0.001"
+    rows = p7_masked(spark, d).collect()
+    by = check(rows, 2048, 8, 1400)
+    assert {r.doc_id for r in rows} == {r.doc_id for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    assert any(len(m) == 8 for m in by.values()) and any(sum(x.loss_tokens for x in m) > 1390 for m in by.values())
