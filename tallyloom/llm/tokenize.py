@@ -156,6 +156,19 @@ def _encode_batches(path: str, size_only: bool):
     return run
 
 
+def _cut(leaf: int, at_once: int = 1024):
+    """Texts to (__sha, __n, __part), their leaves, in one pass over each text and at_once leaves a batch."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for sha, text in zip(f["__sha"], f["__text"], strict=True):
+                for at in range(0, len(text), leaf * at_once):
+                    parts = [text[i : i + leaf] for i in range(at, min(at + leaf * at_once, len(text)), leaf)]
+                    yield pd.DataFrame({"__sha": [sha] * len(parts), "__n": np.arange(len(parts), dtype=np.int32) + at // leaf, "__part": parts})
+
+    return run
+
+
 def encode(docs: DataFrame, text: str = "text", *, path: str | None = None, leaf: int = LEAF, size_only: bool = False) -> DataFrame:
     """docs with the column `text` replaced by `ids`: its token ids as an array of int (size_only: their number).
 
@@ -173,8 +186,7 @@ def encode(docs: DataFrame, text: str = "text", *, path: str | None = None, leaf
 
     # equal long texts are encoded once; a text is known by its SHA-256, which doesn't depend on where its row is read
     long = src.filter(is_long).withColumn("__sha", F.unhex(F.sha2("__text", 256)))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.length("__text") - 1) / leaf)), lambda i: F.substring(F.col("__text"), (i * leaf + 1).cast("int"), F.lit(leaf)))
-    parts = long.groupBy("__sha").agg(F.first("__text").alias("__text")).select("__sha", F.posexplode(cut).alias("__n", "__part"))
+    parts = long.groupBy("__sha").agg(F.first("__text").alias("__text")).mapInPandas(_cut(leaf), "__sha binary, __n int, __part string")
     # by text and leaf number: every leaf of a long text may go to another task
     parts = parts.repartition("__sha", "__n")
 
