@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.graph import connected_components
 from tallyloom.runtime import materialize
 
 
@@ -100,14 +101,40 @@ def _meat(scores: DataFrame, cols: list[str], by: list[str]) -> tuple[np.ndarray
     return m, got[0]
 
 
-def _sandwich(scores: DataFrame, cols: list[str], inv: np.ndarray, clusters: list[str], n: int) -> tuple[np.ndarray, dict[str, int]]:
-    """Variance clustered by one column, or by two as V1 + V2 - V12; each part scaled by G/(G-1) (n-1)/(n-k)."""
+def absorbed_levels(cells: DataFrame, absorb: list[str], clusters: list[str] = ()) -> int:
+    """Degrees of freedom that the absorbed factors take: their levels less the redundant ones.
+
+    The first factor counts all its levels; of another, as many are redundant as it and an earlier factor have connected
+    components (the most of any earlier one). Factors nested in a cluster, each level in one cluster, take none; if there are
+    any, one is taken for the constant.
+    """
+    if not absorb:
+        return 0
+    nested = {f for f in absorb for c in clusters if f == c or cells.groupBy(f).agg((F.min(c) != F.max(c)).alias("x")).filter("x").isEmpty()}
+    open_ = [f for f in absorb if f not in nested]
+    levels = cells.agg(*[F.count_distinct(f).alias(f) for f in absorb]).first()
+    return sum(levels[f] - max((_components(cells, levels, g, f) for g in absorb[: absorb.index(f)]), default=0) for f in open_) + bool(nested)
+
+
+def _components(cells: DataFrame, levels, f: str, g: str) -> int:
+    """Connected components of two factors that meet in cells."""
+    met = cells.select(F.col(f).alias("f"), F.col(g).alias("g")).distinct()
+    # a level that meets all of the other factor connects everything
+    for one, other in (("g", f), ("f", g)):
+        if (met.groupBy(one).count().agg(F.max("count")).first()[0] or 0) == levels[other]:
+            return 1
+    name = lambda c: F.concat(F.lit(f"{c}:"), F.col(c).cast("string"))
+    return connected_components(met.select(name("f").alias("a"), name("g").alias("b"))).select("component").distinct().count()
+
+
+def _sandwich(scores: DataFrame, cols: list[str], inv: np.ndarray, clusters: list[str], n: int, absorbed: int = 0) -> tuple[np.ndarray, dict[str, int]]:
+    """Variance clustered by one column, or by two as V1 + V2 - V12; each part scaled by G/(G-1) (n-1)/(n-k-absorbed)."""
     k, counts, v = len(cols), {}, np.zeros((len(cols), len(cols)))
     parts = [([clusters[0]], 1)] if len(clusters) == 1 else [([clusters[0]], 1), ([clusters[1]], 1), (list(clusters[:2]), -1)]
     for by, sign in parts:
         m, g = _meat(scores, cols, by)
         counts["#".join(by)] = g
-        v += sign * inv @ m @ inv * (g / max(1, g - 1)) * ((n - 1) / max(1, n - k))
+        v += sign * inv @ m @ inv * (g / max(1, g - 1)) * ((n - 1) / max(1, n - k - absorbed))
     return v, counts
 
 
@@ -115,7 +142,7 @@ def fe_ols(df: DataFrame, y: str, xs: list[str], *, absorb: list[str] = (), clus
     """Weighted least squares of y on xs with the factors absorbed.
 
     Rows with a missing variable, factor, cluster or weight, or a weight that isn't positive, are left out. Without clusters
-    the errors are classical. Collinear regressors share a minimum-norm solution. An interacted factor is a column of its own.
+    the errors are classical. Both kinds subtract the levels of the absorbed factors (absorbed_levels). Collinear regressors share a minimum-norm solution. An interacted factor is a column of its own.
     """
     vs, w = [y, *xs], F.col(weight) if weight else F.lit(1.0)
     keys = list(dict.fromkeys([*absorb, *clusters]))
@@ -135,13 +162,14 @@ def fe_ols(df: DataFrame, y: str, xs: list[str], *, absorb: list[str] = (), clus
     for (i, j), x in zip(_pairs(k), got[1:], strict=True):
         full[i, j] = full[j, i] = x or 0.0
     b, inv = _solve(full[1:, 1:], full[1:, 0])
+    taken = absorbed_levels(cells, list(absorb), list(clusters))
     if not clusters:
-        s2 = (full[0, 0] - np.nan_to_num(b) @ full[1:, 0]) / max(1, n - k + 1 - (0 if absorb else 1))
+        s2 = (full[0, 0] - np.nan_to_num(b) @ full[1:, 0]) / max(1, n - k + 1 - (taken if absorb else 1))
         return Fit(list(xs), b, inv * s2, n)
     at = lambda i, j: cross[min(i, j), max(i, j)]
     score = [at(j, 0) - sum((at(j, i) * float(np.nan_to_num(b[i - 1])) for i in range(1, k)), F.lit(0.0)) for j in range(1, k)]
     cols = [f"u{j}" for j in range(1, k)]
-    v, counts = _sandwich(cells.select(*clusters, *[c.alias(u) for c, u in zip(score, cols, strict=True)]), cols, inv, list(clusters), n)
+    v, counts = _sandwich(cells.select(*clusters, *[c.alias(u) for c, u in zip(score, cols, strict=True)]), cols, inv, list(clusters), n, taken)
     return Fit(list(xs), b, v, n, counts)
 
 

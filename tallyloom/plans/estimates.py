@@ -55,7 +55,7 @@ def twfe_did_balanced(spark, d):
     return regress.fe_ols(df, "lp", ["did"], absorb=["market", "yr"], clusters=["market"]).frame(spark).select("term", r6("b").alias("b"), "n")
 
 
-@query(BAL + ", c as (select market, lp - avg(lp) over (partition by market) - avg(lp) over (partition by yr) + avg(lp) over () y, did - avg(did) over (partition by market) - avg(did) over (partition by yr) + avg(did) over () x from x), e as (select sum(x * y) / sum(x * x) b, sum(x * x) xx, count(*) n, count(distinct market) g from c), u as (select market, sum(x * (y - b * x)) s from c, e group by 1) select 'did' term, round(sqrt(sum(s * s) / (max(xx) ** 2) * max(g) / (max(g) - 1)), 6) se from u, e")
+@query(BAL + ", c as (select market, lp - avg(lp) over (partition by market) - avg(lp) over (partition by yr) + avg(lp) over () y, did - avg(did) over (partition by market) - avg(did) over (partition by yr) + avg(did) over () x from x), e as (select sum(x * y) / sum(x * x) b, sum(x * x) xx, count(*) n, count(distinct market) g from c), u as (select market, sum(x * (y - b * x)) s from c, e group by 1) select 'did' term, round(sqrt(sum(s * s) / (max(xx) ** 2) * max(g) / (max(g) - 1) * (max(n) - 1) / (max(n) - 1 - (select count(distinct yr) from x))), 6) se from u, e")
 def twfe_cluster_se(spark, d):
     df = balanced(spark, d).withColumn("did", F.col("treated") * (F.col("yr") >= EVENT).cast("int"))
     return regress.fe_ols(df, "lp", ["did"], absorb=["market", "yr"], clusters=["market"]).frame(spark).select("term", r6("se").alias("se"))

@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is made and kept for the session.
+    Only where that is unset and everything runs on one machine, as in tests, a temporary folder is made and kept for the
+    session; on a cluster, where each executor would write to its own disk, this is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
         path = spark.conf.get("spark.tallyloom.shared", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
         spark.conf.set("spark.tallyloom.shared", path)
     return path.rstrip("/")

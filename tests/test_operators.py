@@ -129,8 +129,23 @@ def test_fe_ols_equals_dummies(spark):
     xt = x - d @ np.linalg.lstsq(d * sw, x * sw[:, 0], rcond=None)[0]
     g = sorted({r[0] for r in rows})
     meat = sum((w * xt * e)[[r[0] == c for r in rows]].sum() ** 2 for c in g)
-    se = math.sqrt(meat) / (w * xt * xt).sum() * math.sqrt(len(g) / (len(g) - 1))
+    n, years = len(rows), len({r[1] for r in rows})
+    # the factor i is nested in the cluster; the constant and the years but one are taken
+    se = math.sqrt(meat) / (w * xt * xt).sum() * math.sqrt(len(g) / (len(g) - 1) * (n - 1) / (n - 1 - years))
     assert fit.se[0] == pytest.approx(se, rel=1e-5) and fit.n == len(rows)
+    plain = regress.fe_ols(df, "y", ["x"], absorb=["i", "t"], weight="w")
+    classical = math.sqrt((w * e * e).sum() / (n - z.shape[1]) / (w * xt * xt).sum())
+    assert plain.se[0] == pytest.approx(classical, rel=1e-5)
+
+
+def test_absorbed_levels(spark):
+    # two islands of i and t; u is a coarser i
+    df = spark.createDataFrame([(i, t, i // 2, 1.0 * i) for i in range(6) for t in range(4) if (i < 4) == (t < 2)], "i int, t int, u int, x double")
+    assert regress.absorbed_levels(df, ["i"]) == 6 and regress.absorbed_levels(df, []) == 0
+    assert regress.absorbed_levels(df, ["i", "t"]) == 6 + 4 - 2
+    assert regress.absorbed_levels(df, ["i", "u"]) == 6
+    assert regress.absorbed_levels(df, ["i", "t"], ["i"]) == 4 - 2 + 1
+    assert regress.absorbed_levels(df, ["i", "t"], ["u"]) == 4 - 2 + 1
 
 
 def test_poisson_score_is_zero(spark):
