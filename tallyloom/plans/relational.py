@@ -261,14 +261,14 @@ def semi_join_treated(spark, d):
 @query("select l.entry_id, l.market, c.support, c.tier1 from lines l left join cats c on c.category = l.market")
 def left_join_many_to_one(spark, d):
     c = merges.require_unique(cats(spark, d).select(F.col("category").alias("market"), "support", "tier1"), ["market"])
-    return lines(spark, d).select("entry_id", "market").join(F.broadcast(c), "market", "left")
+    return lines(spark, d).select("entry_id", "market").join(c, "market", "left")
 
 
-@query(", s as (select uni, yr from (select distinct uni from lines where uni is not null), (select distinct yr from lines where yr is not null)) select s.uni, s.yr, coalesce(n, 0) n from s left join (select uni, yr, count(*) n from lines where market = 'stir bars' group by all) x using (uni, yr)")
+@query(", s as (select uni, yr from (select distinct uni from lines where uni is not null), (select distinct yr from lines where yr is not null)) select s.uni, s.yr, coalesce(n, 0) n from s left join (select uni, yr, count(*) n from lines group by all) x using (uni, yr)")
 def right_join_spine(spark, d):
     df = lines(spark, d)
     spine = df.select("uni").filter("uni is not null").distinct().crossJoin(F.broadcast(df.select("yr").filter("yr is not null").distinct()))
-    got = df.filter("market = 'stir bars'").groupBy("uni", "yr").agg(F.count("*").alias("n"))
+    got = df.groupBy("uni", "yr").agg(F.count("*").alias("n"))
     return merges.merge(got, spine, ["uni", "yr"], keep=(2, 3), null_safe=False).select("uni", "yr", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -415,32 +415,35 @@ def funding_rollup(spark, d):
     return o.groupBy("o_custkey").agg(F.countDistinct("o_orderkey").alias("n_active"), F.countDistinct(F.when(F.col("o_orderstatus") == "O", F.col("o_orderkey"))).alias("n_open"), F.round(S.sum_if(F.col("o_totalprice"), ~F.col("o_orderpriority").startswith("1")), 2).alias("cost_main"), F.round(F.sum("o_totalprice"), 2).alias("cost_all"), F.min("o_orderdate").cast("date").alias("first_start"), F.max("o_orderdate").cast("date").alias("last_end"))
 
 
-_UY = CLEAN + ", u as (select uni, yr, sum(spend) s, count(*) n from cl where market = 'cuvettes' and uni is not null and yr is not null group by all)"
+_UY = CLEAN + ", u as (select uni, market, yr, sum(spend) s, count(*) n from cl where market is not null and uni is not null and yr is not null group by all)"
+_FULL = ", g as (select min(yr) a, max(yr) b from u), f as (select x.uni, x.market, cast(x.yr as int) yr, n from (select uni, market, unnest(generate_series(a, b)) yr from (select distinct uni, market from u), g) x left join u using (uni, market, yr))"
+UNIT = ["uni", "market"]
 
 
 def _uy(spark, d):
-    return clean(spark, d).filter("market = 'cuvettes' and uni is not null and yr is not null").groupBy("uni", "yr").agg(F.sum("spend").alias("s"), F.count("*").alias("n"))
+    """Buyer and market by year, of all markets."""
+    return clean(spark, d).filter("market is not null and uni is not null and yr is not null").groupBy(*UNIT, "yr").agg(F.sum("spend").alias("s"), F.count("*").alias("n"))
 
 
-@query(_UY + ", g as (select uni, min(yr) a, max(yr) b from u group by 1) select x.uni, cast(x.yr as int) yr, n from (select uni, unnest(generate_series(a, b)) yr from g) x left join u using (uni, yr)")
+@query(_UY + ", g as (select uni, market, min(yr) a, max(yr) b from u group by 1, 2) select x.uni, x.market, cast(x.yr as int) yr, n from (select uni, market, unnest(generate_series(a, b)) yr from g) x left join u using (uni, market, yr)")
 def panel_fill_span(spark, d):
-    return panel.fill_span(_uy(spark, d), ["uni"], "yr").select("uni", "yr", "n")
+    return panel.fill_span(_uy(spark, d), UNIT, "yr").select(*UNIT, "yr", "n")
 
 
-@query(_UY + ", g as (select min(yr) a, max(yr) b from u) select x.uni, cast(x.yr as int) yr, n from (select uni, unnest(generate_series(a, b)) yr from (select distinct uni from u), g) x left join u using (uni, yr)")
+@query(_UY + _FULL + " select * from f")
 def panel_fill_full(spark, d):
-    return panel.fill_span(_uy(spark, d), ["uni"], "yr", full=True).select("uni", "yr", "n")
+    return panel.fill_span(_uy(spark, d), UNIT, "yr", full=True).select(*UNIT, "yr", "n")
 
 
-@query(_UY + ", g as (select min(yr) a, max(yr) b from u), f as (select x.uni, x.yr, n from (select uni, unnest(generate_series(a, b)) yr from (select distinct uni from u), g) x left join u using (uni, yr)) select uni, cast(yr as int) yr, last_value(n ignore nulls) over (partition by uni order by yr rows between unbounded preceding and current row) forward, first_value(n ignore nulls) over (partition by uni order by yr rows between current row and unbounded following) backward from f")
+@query(_UY + _FULL + " select uni, market, yr, last_value(n ignore nulls) over (partition by uni, market order by yr rows between unbounded preceding and current row) forward, first_value(n ignore nulls) over (partition by uni, market order by yr rows between current row and unbounded following) backward from f")
 def locf_fill(spark, d):
-    df = panel.fill_span(_uy(spark, d), ["uni"], "yr", full=True)
-    return df.select("uni", "yr", panel.carry_forward("n", ["uni"], "yr").alias("forward"), panel.carry_back("n", ["uni"], "yr").alias("backward"))
+    df = panel.fill_span(_uy(spark, d), UNIT, "yr", full=True)
+    return df.select(*UNIT, "yr", panel.carry_forward("n", UNIT, "yr").alias("forward"), panel.carry_back("n", UNIT, "yr").alias("backward"))
 
 
-@query(_UY + " select uni, yr, case when yr - lag(yr) over w = 1 then n - lag(n) over w end d_n from u window w as (partition by uni order by yr)")
+@query(_UY + " select uni, market, yr, case when yr - lag(yr) over w = 1 then n - lag(n) over w end d_n from u window w as (partition by uni, market order by yr)")
 def gap_checked_diff(spark, d):
-    return _uy(spark, d).select("uni", "yr", panel.step_change("n", ["uni"], "yr").alias("d_n"))
+    return _uy(spark, d).select(*UNIT, "yr", panel.step_change("n", UNIT, "yr").alias("d_n"))
 
 
 @query(CLEAN + ", y as (select market, yr, supplier from (select market, yr, supplier, row_number() over (partition by market, yr order by count(*) desc, supplier) r from cl where supplier is not null and yr is not null group by 1, 2, 3) where r = 1), f as (select *, lag(supplier) over w b, lead(supplier) over w a from y window w as (partition by market order by yr)), g as (select *, case when a = b and supplier <> b then b end t from f) select market, yr, case when t is not null and lag(t) over (partition by market order by yr) is null then t else supplier end supplier from g")
@@ -450,10 +453,10 @@ def sandwich_repair(spark, d):
     return panel.sandwich(top, ["market"], "yr", "supplier")
 
 
-@query(_UY + " select uni, yr, round(s, 2) s, round(max(case when yr = 2013 then s end) over (partition by uni), 2) s_2013, round(s - max(case when yr = 2013 then s end) over (partition by uni), 2) s_rel from u")
+@query(_UY + " select uni, market, yr, round(s, 2) s, round(max(case when yr = 2013 then s end) over w, 2) s_2013, round(s - max(case when yr = 2013 then s end) over w, 2) s_rel from u window w as (partition by uni, market)")
 def base_year_normalize(spark, d):
-    w = Window.partitionBy("uni")
-    return _uy(spark, d).select("uni", "yr", F.round("s", 2).alias("s"), F.round(F.max(F.when(F.col("yr") == 2013, F.col("s"))).over(w), 2).alias("s_2013"), F.round(panel.base_year("s", ["uni"], "yr", 2013), 2).alias("s_rel"))
+    w = Window.partitionBy(*UNIT)
+    return _uy(spark, d).select(*UNIT, "yr", F.round("s", 2).alias("s"), F.round(F.max(F.when(F.col("yr") == 2013, F.col("s"))).over(w), 2).alias("s_2013"), F.round(panel.base_year("s", UNIT, "yr", 2013), 2).alias("s_rel"))
 
 
 @query(CLEAN + " select entry_id, uni, market, coalesce(price, m) price from (select *, max(price) over (partition by uni, market) m from cl)")

@@ -58,9 +58,9 @@ def supplier_tokens(spark, d):
     return R.table(spark, d, "supplier_map").select("suppliername", X.supplier_token(F.col("suppliername")).alias("token"))
 
 
-@query("select category, case when contains(category, 'Models') or not contains(category, ',') then category else regexp_extract(category, '^(.*),[^,]*$', 1) end head from (select distinct category from category_file where category is not null and category not like '%,' and category not like ',%')")
+@query("select category, case when contains(category, 'Models') or not contains(category, ',') then category else regexp_extract(category, '^(.*),[^,]*$', 1) end head from (select distinct category from category_file where category is not null)")
 def head_terms(spark, d):
-    df = R.table(spark, d, "category_file").select("category").filter("category is not null and category not like '%,' and category not like ',%'").distinct()
+    df = R.table(spark, d, "category_file").select("category").filter("category is not null").distinct()
     return df.select("category", X.head_term(F.col("category")).alias("head"))
 
 
