@@ -228,11 +228,11 @@ def binned_scatter(spark, d):
     return z.withColumn("bin", F.ntile(10).over(Window.orderBy(F.round("x", 9), "market"))).groupBy("bin").agg(F.count("*").alias("n"), r6(F.avg("x")).alias("x"), r6(F.avg("y")).alias("y"))
 
 
-_TOK = "with w as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) term from documents where lower(lang) = 'en'), c as (select doc_id, term, count(*) tf from w group by 1, 2), n as (select count(distinct doc_id) n from c), f as (select term, count(*) df from c group by 1 having count(*) >= 3 and count(*) <= 0.5 * (select n from n)), x as (select doc_id, term, (1 + ln(tf)) * (1 + ln((1.0 + n) / (1 + df))) x from c join f using (term), n), t as (select doc_id, term, x / sqrt(sum(x * x) over (partition by doc_id)) weight from x)"
+_TOK = "with w as (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) term from documents), c as (select doc_id, term, count(*) tf from w group by 1, 2), n as (select count(distinct doc_id) n from c), f as (select term, count(*) df from c group by 1 having count(*) >= 3 and count(*) <= 0.5 * (select n from n)), x as (select doc_id, term, (1 + ln(tf)) * (1 + ln((1.0 + n) / (1 + df))) x from c join f using (term), n), t as (select doc_id, term, x / sqrt(sum(x * x) over (partition by doc_id)) weight from x)"
 
 
 def _weights(spark, d) -> DataFrame:
-    docs = R.table(spark, d, "documents").filter("lower(lang) = 'en'")
+    docs = R.table(spark, d, "documents")
     return similarity.tfidf(similarity.term_counts(docs, "doc_id", "text"), "doc_id", min_df=3, max_df=0.5)
 
 
