@@ -60,7 +60,7 @@ def contrast_weights(counts: DataFrame, key: str, labels: DataFrame, label: str)
     n = labels.count()
     e = F.col("t") * F.col("size") / F.lit(float(n))
     # labels without the term add their expectation: sum over labels of e is t, over the seen ones it is joined
-    chi = seen.join(total, "term").join(F.broadcast(size), label).groupBy("term").agg((F.sum((F.col("o") - e) ** 2 / e) + F.first("t") - F.sum(e)).alias("chi"))
+    chi = seen.join(total, "term").join(size, label).groupBy("term").agg((F.sum((F.col("o") - e) ** 2 / e) + F.first("t") - F.sum(e)).alias("chi"))
     return chi.withColumn("r", F.sqrt(F.greatest("chi", F.lit(0.0)))).crossJoin(F.broadcast(chi.agg(F.avg(F.sqrt(F.greatest("chi", F.lit(0.0)))).alias("m")))).select("term", (F.col("r") / F.col("m")).alias("weight"))
 
 
@@ -131,7 +131,7 @@ def shrink_shares(shares: DataFrame, unit: str, market: str, amount: str, alpha:
     prior = by.groupBy(market).agg(F.sum("a").alias("p"))
     prior = prior.crossJoin(F.broadcast(prior.agg(F.sum("p").alias("all")))).select(market, (F.col("p") / F.col("all")).alias("prior"))
     # a unit's row is dense over the markets, which are a list
-    dense = unit_total.crossJoin(F.broadcast(prior)).join(by, [unit, market], "left")
+    dense = unit_total.crossJoin(prior).join(by, [unit, market], "left")
     return dense.select(unit, market, ((F.coalesce("a", F.lit(0.0)) + F.lit(alpha) * F.col("prior")) / (F.col("t") + alpha)).alias("share"))
 
 

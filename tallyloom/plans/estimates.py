@@ -31,7 +31,7 @@ PANEL = ", my as (select market, yr, ln(sum(spend) / sum(qty)) lp, ln(sum(spend)
 def market_years(spark, d) -> DataFrame:
     g = R.clean(spark, d).filter("yr is not null").groupBy("market", "yr").agg(F.sum("spend").alias("s"), F.sum("qty").alias("q")).filter("q > 0 and s > 0")
     t = R.cats(spark, d).select(F.col("category").alias("market"), "treated")
-    return g.join(F.broadcast(t), "market").select("market", "yr", F.ln(F.col("s") / F.col("q")).alias("lp"), F.ln("s").alias("ls"), "s", "treated")
+    return g.join(t, "market").select("market", "yr", F.ln(F.col("s") / F.col("q")).alias("lp"), F.ln("s").alias("ls"), "s", "treated")
 
 
 def balanced(spark, d, first=2010, last=2018) -> DataFrame:
@@ -115,7 +115,7 @@ def _exposure_sql(cond: str) -> str:
 def _exposure(spark, d, cond: str) -> DataFrame:
     df = R.clean(spark, d).filter("yr <= 2013 and uni is not null")
     ok = R.cats(spark, d).filter(cond).select(F.col("category").alias("market"))
-    e = panel.shift_share(df.join(F.broadcast(ok), "market", "left_semi"), "uni", "market", "spend", _coefs(spark, d), "b")
+    e = panel.shift_share(df.join(ok, "market", "left_semi"), "uni", "market", "spend", _coefs(spark, d), "b")
     return e.select("uni", r6("exposure").alias("exposure"), r6("share_sum").alias("share_sum"))
 
 
@@ -304,7 +304,7 @@ def report(df: DataFrame, truth: str, pred: str) -> DataFrame:
 def interacted_slopes(spark, d):
     """Effects of the event by tier, all in one regression."""
     tier = R.cats(spark, d).select(F.col("category").alias("market"), F.when(F.col("tier1") == 1, 1).when(F.col("tier2") == 1, 2).otherwise(3).alias("tier"))
-    df = balanced(spark, d).join(F.broadcast(tier), "market")
+    df = balanced(spark, d).join(tier, "market")
     post = F.col("treated") * (F.col("yr") >= EVENT).cast("int")
     df = df.withColumns({f"did_t{t}": post * (F.col("tier") == t).cast("int") for t in (1, 2, 3)}).withColumn("tier_yr", F.concat_ws("#", "tier", "yr"))
     return regress.fe_ols(df, "lp", ["did_t1", "did_t2", "did_t3"], absorb=["market", "tier_yr"], clusters=["market"]).frame(spark)

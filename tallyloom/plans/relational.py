@@ -33,7 +33,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """The purchase lines with suppliers mapped; the map is a reference list."""
     c, m = table(spark, d, "category_file"), table(spark, d, "supplier_map")
-    return c.join(F.broadcast(m), "suppliername", "left").select(
+    return c.join(m, "suppliername", "left").select(
         "entry_id", "purchase_id", F.col("agencyname").alias("uni"), F.coalesce("new_suppliername", F.lower("suppliername")).alias("supplier"), "product_desc", "price", "qty", "spend",
         F.col("purchase_date").alias("dt"), F.year("purchase_date").cast("int").alias("yr"), F.col("category").alias("market"),
     )
@@ -46,7 +46,7 @@ def cats(spark: SparkSession, d: str) -> DataFrame:
 def clean(spark: SparkSession, d: str) -> DataFrame:
     """Lines that survive the basic rules and are in a listed market."""
     df = S.drop_if(lines(spark, d), S.le(F.col("price"), 0) | S.lt(F.col("qty"), 1) | S.le(F.col("spend"), 0))
-    return df.join(F.broadcast(cats(spark, d).select(F.col("category").alias("market"))), "market", "left_semi")
+    return df.join(cats(spark, d).select(F.col("category").alias("market")), "market", "left_semi")
 
 
 CLEAN = ", cl as (select * from lines where not coalesce(price <= 0, false) and not coalesce(qty < 1, false) and not coalesce(spend <= 0, false) and market in (select category from cats))"
@@ -88,7 +88,7 @@ def category_scoped_blacklist(spark, d):
 
 @query("select entry_id from lines l left join cats c on l.market = c.category where not coalesce(contains(lower(product_desc), 'lot') and precision_score < 0.8, false)")
 def confidence_gated_blacklist(spark, d):
-    df = lines(spark, d).join(F.broadcast(cats(spark, d).select("category", "precision_score")), F.col("market") == F.col("category"), "left")
+    df = lines(spark, d).join(cats(spark, d).select("category", "precision_score"), F.col("market") == F.col("category"), "left")
     return S.drop_if(df, F.lower("product_desc").contains("lot") & (F.col("precision_score") < 0.8)).select("entry_id")
 
 
@@ -255,7 +255,7 @@ def anti_join_exclusion(spark, d):
 
 @query("select market, count(*) n from lines where market in (select category from cats where treated = 1) group by 1")
 def semi_join_treated(spark, d):
-    return lines(spark, d).join(F.broadcast(cats(spark, d).filter("treated = 1").select(F.col("category").alias("market"))), "market", "left_semi").groupBy("market").agg(F.count("*").alias("n"))
+    return lines(spark, d).join(cats(spark, d).filter("treated = 1").select(F.col("category").alias("market")), "market", "left_semi").groupBy("market").agg(F.count("*").alias("n"))
 
 
 @query("select l.entry_id, l.market, c.support, c.tier1 from lines l left join cats c on c.category = l.market")
@@ -291,7 +291,7 @@ PAIRS = [("stir bars", "cuvettes"), ("stir bars", "hand tools"), ("gases - argon
 def stacked_match_panel(spark, d):
     p = spark.createDataFrame(PAIRS, "t string, c string")
     e = p.select(F.col("t").alias("experiment"), F.col("t").alias("market"), F.lit(1).alias("treated")).distinct().unionByName(p.select(F.col("t").alias("experiment"), F.col("c").alias("market"), F.lit(0).alias("treated")))
-    return clean(spark, d).groupBy("market", "yr").agg(F.round(F.sum("spend"), 2).alias("spend")).join(F.broadcast(e), "market")
+    return clean(spark, d).groupBy("market", "yr").agg(F.round(F.sum("spend"), 2).alias("spend")).join(e, "market")
 
 
 @query(CLEAN + " select market, round(sum(spend * qty) / sum(case when spend is not null then qty end), 7) wmean, round((sum(spend * qty) - sum(case when spend is not null then qty end) * 0) / nullif(sum(qty), 0), 7) per_qty from cl group by all")

@@ -99,7 +99,7 @@ def hybrid_label(spark, d):
     p = c.filter("suppliername is not null").groupBy("suppliername").agg(F.avg(F.when(F.col("category").like("chem%"), 1.0).otherwise(0.0)).alias("prior"), F.count("*").alias("n"))
     t = F.lower("product_desc")
     out = rules.hybrid(t.contains("shipping"), t.contains("antibody"), F.col("price") / 100, prior=F.col("prior"), prior_n=F.col("n"))
-    return c.join(F.broadcast(p), "suppliername", "left").select("entry_id", out.alias("label"))
+    return c.join(p, "suppliername", "left").select("entry_id", out.alias("label"))
 
 
 @query("select entry_id, case when coalesce(contains(lower(product_desc), 'shipping'), false) then 'fees' when category in (select category from categories) then category when coalesce(price > 100, false) then 'expensive' else 'other' end market, case when coalesce(contains(lower(product_desc), 'shipping'), false) then 'veto' when category in (select category from categories) then 'typed' when coalesce(price > 100, false) then 'price' else 'default' end src from category_file")
@@ -107,7 +107,7 @@ def prediction_cascade(spark, d):
     c = R.table(spark, d, "category_file").select("entry_id", "product_desc", "category", "price")
     k = R.cats(spark, d).select("category", F.lit(True).alias("known"))
     v, s = rules.cascade([("veto", F.lower("product_desc").contains("shipping"), F.lit("fees")), ("typed", F.col("known"), F.col("category")), ("price", F.col("price") > 100, F.lit("expensive"))], F.lit("other"))
-    return c.join(F.broadcast(k), "category", "left").select("entry_id", v.alias("market"), s.alias("src"))
+    return c.join(k, "category", "left").select("entry_id", v.alias("market"), s.alias("src"))
 
 
 def _settled_sql() -> str:
@@ -186,7 +186,7 @@ def lexicon_scores(spark, d):
     lex = spark.createDataFrame(LEXICON, "t string, k string")
     w = R.table(spark, d, "author_text").filter("processed_text is not null").select("athr_id", F.explode(F.split("processed_text", " ")).alias("t")).distinct()
     n = lambda k: F.count(F.when(F.col("k") == k, 1))
-    g = w.join(F.broadcast(lex), "t", "left").groupBy("athr_id").agg(n("core").alias("core_hits"), n("adj").alias("adj_hits"), n("anti").alias("anti_hits"))
+    g = w.join(lex, "t", "left").groupBy("athr_id").agg(n("core").alias("core_hits"), n("adj").alias("adj_hits"), n("anti").alias("anti_hits"))
     return g.withColumn("keep", ((F.col("core_hits") >= 1) & (F.col("anti_hits") <= 1)).cast("int"))
 
 
@@ -214,7 +214,7 @@ def title_filters(spark, d):
 @query("select n_nationkey, n_name, r_name parent, coalesce(n.c, 0) n_customers from nation join region on n_regionkey = r_regionkey left join (select c_nationkey k, count(*) c from customer group by 1) n on n.k = n_nationkey")
 def parent_rollup(spark, d):
     c = R.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("c"))
-    n = R.table(spark, d, "nation").join(F.broadcast(R.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = R.table(spark, d, "nation").join(R.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return n.join(c, "n_nationkey", "left").select("n_nationkey", "n_name", F.col("r_name").alias("parent"), F.coalesce("c", F.lit(0)).alias("n_customers"))
 
 
@@ -235,7 +235,7 @@ def confusion_tail(spark, d):
 def geography_fill(spark, d):
     """A place from the name, else from a lookup, else the world."""
     n = R.table(spark, d, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return R.table(spark, d, "customer").join(F.broadcast(n), "c_nationkey", "left").select("c_custkey", F.coalesce(F.when(F.col("c_name").endswith("9"), "nine"), "n_name", F.lit("world")).alias("region_name"))
+    return R.table(spark, d, "customer").join(n, "c_nationkey", "left").select("c_custkey", F.coalesce(F.when(F.col("c_name").endswith("9"), "nine"), "n_name", F.lit("world")).alias("region_name"))
 
 
 @query("select record_id, case when cleaned_description is null or regexp_matches(lower(cleaned_description), 'old') then 0 when regexp_matches(lower(cleaned_description), 'steel|glass') then 1 when data_source like '%non_lab%' then 0 when regexp_matches(lower(cleaned_description), 'valve|tube') then 1 else coalesce(label, 0) end label from training_dataset")

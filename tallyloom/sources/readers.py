@@ -24,15 +24,16 @@ def delimited(spark: SparkSession, path: str, *, sep: str = ",", quotes: bool =
     return df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
 
 
-def two_fields(spark: SparkSession, path: str, names: tuple[str, str], *, least: int = 5) -> DataFrame:
-    """Damaged two-column files: each line is parted at its first comma; lines that are blank or begin with @ are skipped.
+def two_fields(spark: SparkSession, path: str, names: tuple[str, str], *, above: int = 5, header: bool = True) -> DataFrame:
+    """Damaged two-column files: each line is parted at its first comma; the header and lines that are blank or begin with @ are skipped.
 
-    Outer quotes go; the words null, none, na and nan and texts under `least` characters count as missing and drop the line.
+    Outer quotes go; the words null, none, na and nan and texts of `above` characters or fewer count as missing and drop the line.
     """
-    line = spark.read.text(path).filter((F.trim("value") != "") & ~F.col("value").startswith("@") & F.col("value").contains(","))
+    # a separator that no text has: the line is one field
+    line = spark.read.schema("value string").option("header", header).option("sep", "\x01").option("quote", "").csv(path).filter((F.trim("value") != "") & ~F.col("value").startswith("@") & F.col("value").contains(","))
     part = F.split("value", ",", 2)
     bare = lambda c: F.regexp_replace(F.trim(c), '^"+|"+$', "")
-    return line.select(bare(part[0]).alias(names[0]), bare(part[1]).alias(names[1])).filter((F.length(names[1]) >= least) & ~F.lower(names[1]).isin("null", "none", "na", "nan"))
+    return line.select(bare(part[0]).alias(names[0]), bare(part[1]).alias(names[1])).filter((F.length(names[1]) > above) & ~F.lower(names[1]).isin("null", "none", "na", "nan"))
 
 
 def workbook(spark: SparkSession, path: str, sheet: str | int = 0) -> DataFrame:

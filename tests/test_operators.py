@@ -306,7 +306,7 @@ def test_readers(spark, tmp_path):
     df = readers.standardize(readers.read_any(spark, str(tmp_path / "a.csv")), {"product_desc": "item_name", "price": "price", "date": "date"})
     got = df.collect()
     assert (got[0].product_desc, got[0].price, str(got[0].date), got[0].sku) == ('x, "y"\nz', 1000.0, "2014-02-03", None) and len(df.columns) == 13
-    (tmp_path / "b.txt").write_text('id1,"some, text"\n@skip,x\n\nid2,null\nid3,abc\n')
+    (tmp_path / "b.txt").write_text('id,the abstract\nid1,"some, text"\nid4,12345\n@skip,x\n\nid2,null\nid3,abc\n')
     assert [tuple(r) for r in readers.two_fields(spark, str(tmp_path / "b.txt"), ("id", "t")).collect()] == [("id1", "some, text")]
     (tmp_path / "y/2011").mkdir(parents=True)
     (tmp_path / "y/2011/a.json").write_text('{"id": 1, "pi": [{"name": "n1"}, {"name": "n2"}]}')
