@@ -111,6 +111,30 @@ def test_kinds_that_never_meet_differ():
     assert P.same_kinds({"sodium velate": "salts", "velate sodium": "salts"}, meets)["velate sodium"] == "sodium velate"
 
 
+def test_repeated_listings_are_no_evidence_against_a_synonym(spark):
+    # most products are listed once, by either name; a table of twelve copies of each listing says no more than one copy
+    name = lambda i, k: f"{k}; {i + 1} cm; pack of 4; by velquor model x{i % 7}"
+    once = [name(i, "stir bar" if i < 70 else "bar for stirring") for i in range(130)] + [name(i, "bar for stirring") for i in range(10)]
+    for copy in (lambda t, k: t, lambda t, k: " - ".join(reversed(t.split("; "))) + f" - item no {1000 + k}" if k % 2 else t):
+        df = spark.createDataFrame([(1000 * k + i, copy(t, k), "bars") for k in range(12) for i, t in enumerate(once)], "listing_id long, cleaned_description string, category string")
+        assert set(P.mine(df)["kinds"]) == {"stir bar", "bar for stirring"} and len(set(P.mine(df)["kinds"].values())) == 1
+
+
+def test_a_misspelling_of_two_words_is_read_as_the_kinds_own():
+    kinds = tuple(sorted(P.same_kinds({"quintose": "sugars", "quintose sugar": "sugars", "nuvarose agar": "agars", "agar nuvarose": "agars"}).items()))
+    r = P.Reader((), ("velquor",), kinds)
+    right = r.read("quintose sugar; 20 mg; velquor k")
+    for w in ("ugar", "sgar"):  # one edit from agar too
+        assert r.read(f"quintose {w}; 20 mg; velquor k") == right == r.read(f"{w}, quintose, 20 mg, velquor k")
+    assert r.read("quintose; agar; 20 mg; velquor k")["rest"] == "agar" == r.read("quintose ugar; agar; 20 mg; velquor k")["rest"].split()[0]
+
+
+def test_a_model_before_a_dozen():
+    right = READER.read("stir bar; 20 cm; 12 ct; velquor model a")
+    assert READER.read("stir bar 20 cm velquor a dozen") == right == READER.read("stir bar 20 cm a dozen velquor a")
+    assert READER.read("velquor a; stir bar a dozen; 20 cm") == right == READER.read("stir bar; 20 cm; velquor a; a dozen")
+
+
 def test_mined_phrases(spark):
     makers = ["thermo fisher", "3m", "velquor"]
     kinds = [f"{a} {b}" for a in ("stir", "foam", "sand") for b in ("bar", "pad", "lid", "cup")]
